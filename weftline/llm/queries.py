@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from weftline.llm.decontaminate import op10_benchmark_decontamination
+from weftline.llm.packing import op4_best_fit_packing
 from weftline.llm.quality import op9_quality_rules
+from weftline.llm.simhash import op7_simhash_near_duplicates
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op7_simhash_near_duplicates, op9_quality_rules, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
