@@ -6,6 +6,7 @@ from weftline.llm.decontaminate import op10_benchmark_decontamination
 from weftline.llm.packing import op4_best_fit_packing
 from weftline.llm.quality import op9_quality_rules
 from weftline.llm.simhash import op7_simhash_near_duplicates
+from weftline.llm.toxicity import op3_toxicity_segments
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op7_simhash_near_duplicates, op9_quality_rules, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_toxicity_segments, op4_best_fit_packing, op7_simhash_near_duplicates, op9_quality_rules, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
