@@ -7,6 +7,15 @@ from weftline.llm.packing import op4_best_fit_packing
 from weftline.llm.quality import op9_quality_rules
 from weftline.llm.simhash import op7_simhash_near_duplicates
 from weftline.llm.toxicity import op3_toxicity_segments
+from weftline.llm.warc import op6_warc_chunks
 
-QUERIES = {f.__name__: f for f in (op3_toxicity_segments, op4_best_fit_packing, op7_simhash_near_duplicates, op9_quality_rules, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_toxicity_segments, op4_best_fit_packing, op6_warc_chunks, op7_simhash_near_duplicates, op9_quality_rules, op10_benchmark_decontamination)}
+ORACLES: dict[str, str] = {
+    "op6_warc_chunks": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             q AS (SELECT page_id, strlen(html) AS n, sha256(html) AS d FROM p),
+             r AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM q)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+            CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM r""",
+}
