@@ -8,6 +8,7 @@ close too. Only lengths travel; tokens stay with their documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -16,10 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _shared
+from weftline.llm._worker import slices, worker_memory
 
 CAPACITY = 2048
-MARK = "§"
-CACHE = 300_000
+#: Signs that may set words apart, rarest first; the first that is one token serves.
+MARKS = "★→•♥™^~"
+END_MARKS = b".,!?;:"
+#: Beyond these, composing characters could meet lower-casing; such texts keep their case until the tokenizer.
+HIGH = re.compile("[\u0300-\U0010ffff]")
+CACHE = 600_000
 
 
 class Encoder:
@@ -27,7 +33,8 @@ class Encoder:
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in order.
     Words are cut at ASCII white space. New ones are encoded together, set apart by a mark that is one token and one
-    word. Texts that hold the mark or a special token's start go to the tokenizer whole.
+    word; a mark that ends a word is a token of its own, so the word is learned once for all of them. The tokenizer
+    lower-cases, so A-Z are lowered first. Texts that hold the mark or a special token's start go to it whole.
     """
 
     def __init__(self, path: str):
@@ -35,39 +42,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.older: dict[bytes, bytes] = {}
+        self.ends = {bytes([c]): self.whole(chr(c)) for c in END_MARKS}
+        alone = {m: ids[0] for m in MARKS if len(ids := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1}
+        self.sign, self.mark = next(iter(alone.items()), (None, None))
+        self.between = f" {self.sign} ".encode()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE:
-            self.words.clear()
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
+    def learn(self, words: set[bytes]) -> None:
+        """Adds words to the cache. Of two generations the older goes when the younger is full; what is met stays."""
+        if len(self.words) > CACHE // 2:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        met = words.intersection(older)
+        for w in met:
+            known[w] = older[w]
+        words = words - met
+        ends = {w: w[:-1] for w in words if w[-1:] in END_MARKS and w[-2:-1].isalpha()}
+        new = [w for w in {ends.get(w, w) for w in words}.difference(known)]
+        lines = [new[at : at + 256] for at in range(0, len(new), 256)]
+        for some, found in zip(lines, self.tokenizer.encode_batch_fast([self.between.join(x).decode() for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(some) - 1:
-                self.words.update((w, self.whole(w.decode())) for w in some)
+                known.update((w, self.whole(w.decode())) for w in some)
                 continue
-            for w, a, b in zip(some, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self.words[w] = ids[a:b].tobytes()
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            known.update(zip(some, [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)], strict=True))
+        for w, bare in ends.items():
+            known[w] = known[bare] + self.ends[w[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [self.mark is None or MARK in t or "<|" in t for t in texts]
-        split = [[] if o else t.encode().split() for t, o in zip(texts, odd, strict=True)]
-        out = []
-        for at in range(0, len(texts), 256):
-            known = self.words
-            new = list({w for s in split[at : at + 256] for w in s if w not in known})
-            if new:
-                if len(known) + len(new) > CACHE:
-                    new = list({w for s in split[at : at + 256] for w in s})
-                self.learn(new)
-            get = self.words.__getitem__
-            out += [self.whole(t) if o else b"".join(map(get, s)) for t, s, o in zip(texts[at : at + 256], split[at : at + 256], odd[at : at + 256], strict=True)]
-        return out
+        """Of a part of a batch: its words are held at once, and the cache must not turn over within it."""
+        odd = [self.sign is None or self.sign in t or "<|" in t for t in texts]
+        split = [[] if o else (t.encode().lower() if HIGH.search(t) is None else t.encode()).split() for t, o in zip(texts, odd, strict=True)]
+        words = set().union(*split)
+        self.learn(words.difference(self.words))
+        if not words <= self.words.keys():
+            self.learn(words.difference(self.words))
+        get = self.words.__getitem__
+        return [self.whole(t) if o else b"".join(map(get, s)) for t, s, o in zip(texts, split, odd, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -79,8 +95,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        encoder = Encoder(tokenizer)
-        for b in batches:
+        encoders = worker_memory().setdefault("encoders", {})
+        encoder = encoders[tokenizer] = encoders.get(tokenizer) or Encoder(tokenizer)
+        for b in (part for whole in batches for part in slices(whole, 1)):
             rows, ids = [], []
             for doc_id, data in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 data += b"\0\0\0\0"
