@@ -121,7 +121,7 @@ class Index:
         return sorted(out)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = 13, broadcast_limit: int = 64 << 20, item_block: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per pair of document and benchmark item that share a passage (columns of ``SCHEMA``).
 
     A pair is reported where at least ``min_words`` of the item's words (all, for shorter items) lie in verified
@@ -129,27 +129,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     Texts are read whole; null texts hold no words; rows with a null item_id are ignored; repeated rows give
     repeated pairs per document row and one per item row. Other columns are ignored.
 
-    The index goes to the executors in blocks of at most ``item_block`` bytes of benchmark text, and documents are
-    read once a block; a benchmark over ``broadcast_limit`` bytes is refused by no one: it takes more blocks, so
-    what is held at once stays bounded.
+    The index goes to the executors in blocks of about ``block_bytes`` of benchmark text, and documents are read once
+    a block, so what is broadcast and held at once stays bounded whatever the benchmark's size.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    limit = min(broadcast_limit, item_block)
-    blocks = max(1, -(-2 * size // limit))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        index = _shared.Shared(spark, Index([tuple(r) for r in own.collect()], masks, min_words))
-        parts.append(rows.mapInArrow(_search(index), SCHEMA))
+    parts = [rows.mapInArrow(_search(index), SCHEMA) for index in _indexes(benchmark, masks, min_words, block_bytes)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _indexes(benchmark: DataFrame, masks: tuple[str, ...], min_words: int, block_bytes: int) -> list[_shared.Shared]:
+    """The benchmark's index in blocks of about ``block_bytes`` of text."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
+    out = []
+    for k in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        out.append(_shared.Shared(spark, Index([tuple(r) for r in own.collect()], masks, min_words)))
+    return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+    """``docs`` without the rows that share a passage with any benchmark item; all columns stay as they are."""
+    at = docs.columns.index("text")
+
+    def sieve(shared):
+        def run(batches):
+            index = shared.value
+            get = index.vocab.get
+            for b in batches:
+                clean = []
+                for text in b.column(at):
+                    words = tokens(text.as_py())
+                    clean.append(not index.overlaps(np.fromiter((get(w, -1) for w in words), np.int64, len(words))))
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for index in _indexes(benchmark, masks, min_words, block_bytes):
+        docs = docs.mapInArrow(sieve(index), docs.schema)
+    return docs
+
+
 def _search(shared):
     def run(batches):
         index = shared.value

@@ -1,7 +1,7 @@
 """SimHash near-duplicates found through the anchor points of a covering code.
 
-The 64 bits of a fingerprint are cut into three parts, so two fingerprints that differ in at most four bits differ in
-at most one bit of some part. On a part of 21 or 22 bits the anchors are the words of a covering code: a Hamming code
+The 64 bits of a fingerprint are cut into parts, three for a threshold of four or five bits, so that two fingerprints
+within the threshold differ in at most one bit of some part. On a part of 21 or 22 bits the anchors are the words of a covering code: a Hamming code
 of length 15 on the low bits, every word on the rest; its covering radius is 1. A fingerprint is at home at its nearest
 anchor and replicated to every anchor within radius plus threshold, 1 + 1 bits, so both of a close pair meet at the
 home of either. Homes are compared with all that came to the anchor; a group's links leave it as a spanning star,
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from weftline.llm import _shared
 
-PARTS = ((0, 22), (22, 21), (43, 21))
 CODE = 15
 MOST_BITS = 4
 PAIRS_AT_ONCE = 2_000_000
@@ -49,16 +48,29 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
 
 
+def parts_of(most: int) -> list[tuple[int, int]]:
+    """Lowest bit and width of the parts: so many that ``most`` differences leave one with at most one of them."""
+    n = most // 2 + 1
+    if not 0 <= most or 64 // n < CODE:
+        raise ValueError("the threshold must be from 0 to 7 bits")
+    cuts = [-(-64 * i // n) for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, fp`` per row; null and empty texts have fingerprint 0."""
+    """``doc_id, row, fp`` per row; null and empty texts have fingerprint 0. ``row`` is a hash of doc_id and text."""
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(shingle_hashes(t.as_py(), width)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    return _rows(docs).mapInArrow(run, "doc_id bigint, row bigint, fp bigint")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -78,17 +90,17 @@ def moves(bits: int) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in near]
 
 
-def anchor_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_rows(fps: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor, fingerprint, home (1 or 0) of every copy that is sent out."""
     anchors, copies, home = [], [], []
-    for part, (low, bits) in enumerate(PARTS):
+    for part, (low, bits) in enumerate(parts_of(most)):
         value = (fps.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
         found = syndromes(value & ((1 << CODE) - 1))
         for s, flips in enumerate(moves(bits)):
             own = found == s
             if own.any():
                 at = value[own][:, None] ^ flips[None, :]
-                anchors.append((at | part << 24).ravel())
+                anchors.append((at | part << 40).ravel())
                 copies.append(np.repeat(fps[own], len(flips)))
                 is_home = np.zeros(at.shape, np.int8)
                 is_home[:, 0] = 1
@@ -161,12 +173,12 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Sta
                 label[np.isin(label, apart)] = apart[0]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """``u, v``: spanning links among the distinct fingerprints (column ``fp``) at most four bits apart."""
+def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """``u, v``: spanning links among the distinct fingerprints (column ``fp``) at most ``most`` bits apart."""
 
     def spread(batches):
         for b in batches:
-            anchors, copies, home = anchor_rows(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            anchors, copies, home = anchor_rows(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), most)
             for i in range(0, len(anchors), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(anchors[i : i + 65536]), pa.array(copies[i : i + 65536]), pa.array(home[i : i + 65536])], ["anchor", "fp", "home"])
 
@@ -174,7 +186,7 @@ def links(fps: DataFrame) -> DataFrame:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
         if held:
             stars = Stars()
-            link_groups(*(np.concatenate(x) for x in zip(*held, strict=True)), stars)
+            link_groups(*(np.concatenate(x) for x in zip(*held, strict=True)), stars, most)
             edges = stars.edges()
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
 
@@ -182,23 +194,42 @@ def links(fps: DataFrame) -> DataFrame:
     return copies.repartition("anchor").mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id``: one row per input row; fingerprints at most four bits apart are linked.
+def _classes(docs: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints per row, and each distinct fingerprint's ``least`` row (doc_id, row) with its ``component``."""
+    prints, _ = _shared.written(fingerprints(docs, width), "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("first"))
+    classes, _ = _shared.written(least, "classes")
+    found = _shared.components(links(classes, most), "simhash")
+    return prints, classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
+    """``doc_id, fp, component_id``: one row per input row; fingerprints at most ``most`` (up to 7) bits apart are linked.
 
     ``component_id`` is the smallest doc_id that can be reached over links, the row's own included. Rows with equal
     fingerprints (exact copies, texts without words) are one class from the start, so copies never meet pair by pair.
     Rows with a null doc_id keep their fingerprint and reach others, but are nobody's smallest. An empty table gives
     an empty result; columns other than doc_id and text are ignored.
     """
-    prints, _ = _shared.written(fingerprints(docs, width), "fingerprints")
-    classes, _ = _shared.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = _shared.components(links(classes), "simhash")
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints, named = _classes(docs, width, most)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named, _ = _shared.written(named.join(least, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, most: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, nulls first.
+
+    Rows that repeat doc_id and text are one. All columns stay as they are.
+    """
+    _, named = _classes(docs, width, most)
+    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r"))
+    first, _ = _shared.written(first, "first")
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = rows.join(first, (F.col("_row") == F.col("_r")) & rows["doc_id"].cast("bigint").eqNullSafe(F.col("_d")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_row"]).drop("_row")
+
+
 def op7_simhash_near_duplicates(spark, sf_dir):
     found = near_duplicates(_shared.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -249,6 +249,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 THRESHOLD = 0.7
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay as they are, null texts too."""
+    shared, at = _shared.Shared(docs.sparkSession, model), docs.columns.index("text")
+
+    def run(batches):
+        own = shared.value
+        memo = _Memo(own)
+        for b in batches:
+            sized = ((words, own.segments(words, memo)) for words in (tokens(t.as_py()) for t in b.column(at)))
+            yield b.filter(pa.array([own.score(own.surprise(found, len(words))) < threshold for words, found in sized], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity_segments(spark, sf_dir):
     docs = _shared.table(spark, sf_dir, "documents")
     found = score(docs, train(docs, _shared.table(spark, sf_dir, "labels")))
