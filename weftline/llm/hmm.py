@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _shared
+from weftline.llm._worker import slices
 
 CLASSES = 1024
 HELD_OUT = (7, 2)
 END = b""
-FLUSH = 400_000
+FLUSH = 250_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -70,7 +71,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Bounded: at most ``head`` words with their counts, the first ``symbols`` of which are symbols of the model."""
+    """Bounded: at most ``head`` words, the most frequent, with their counts; the first ``symbols`` of which are symbols of the model."""
 
     head: dict[bytes, tuple[int, int]]  # word: symbol, count
     symbols: int
@@ -85,7 +86,14 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, head: int, symbols: int) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(r[0].encode(), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
+    # A count's bucket is its order of magnitude, sixteen to each power of two: the buckets are few, whatever the corpus.
+    bucket = F.floor(F.log2("c") * 16).cast("int")
+    room, least = head, 1 << 30
+    for k, m in sorted(((r[0], r[1]) for r in counts.groupBy(bucket.alias("k")).count().collect()), reverse=True):
+        if m > room:
+            break
+        room, least = room - m, k
+    top = sorted(((r[0].encode(), r[1]) for r in counts.where(bucket >= least).collect()), key=lambda x: (-x[1], x[0]))
     by_class = np.ones(CLASSES)
     for k, c, m in counts.groupBy(class_column(F.col("token")).cast("int").alias("k")).agg(F.sum("c"), F.count(F.lit(1))).collect():
         by_class[k] += c + m
@@ -102,19 +110,19 @@ ENCODED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known
 def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Each text as symbols, with the parts of its scores that the bounded vocabulary settles and its other words' counts."""
     shared = _shared.Shared(rows.sparkSession, vocab)
-    tail_kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 
     def run(batches):
         own = shared.value
         log_class = np.log10(own.class_total)
         log_count = {w: (s, float(np.log10(c + 1)), s >= own.symbols) for w, (s, c) in own.head.items()}
-        for b in batches:
-            columns: list[list] = [[] for _ in range(6)]
+        for b in (part for whole in batches for part in slices(whole, 3)):
+            columns: list[list] = [[] for _ in range(5)]
+            tokens, counts, cuts = [], [], [0]
             for text in b.column(3):
                 ws = words(text.as_py())
                 ws.append(END)
                 tally = Counter(ws)
-                known, known_log, class_log, tail, where = 0, 0.0, 0.0, [], {}
+                known, known_log, class_log, where = 0, 0.0, 0.0, {}
                 for w, n in tally.items():
                     if (hit := log_count.get(w)) is not None:
                         known += n
@@ -126,12 +134,15 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
                         k = word_class(w)
                         class_log -= n * log_class[k]
                         where[w] = own.symbols + k
-                        tail.append({"token": w.decode(), "n": n})
+                        tokens.append(w)
+                        counts.append(n)
+                cuts.append(len(tokens))
                 symbols = np.fromiter(map(where.__getitem__, ws), "<u2", len(ws)).tobytes()
-                for column, x in zip(columns, (len(ws), known, known_log, float(class_log), symbols, tail), strict=True):
+                for column, x in zip(columns, (len(ws), known, known_log, float(class_log), symbols), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), tail_kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "known_log", "class_log", "symbols", "tail"])
+            tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["token", "n"]))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), tail], ["row", "doc_id", "held_out", "n_tokens", "n_known", "known_log", "class_log", "symbols", "tail"])
 
     return rows.select("row", "doc_id", "held_out", "text").mapInArrow(run, ENCODED)
 
