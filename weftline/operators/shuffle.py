@@ -15,7 +15,8 @@ def _column(c: Column | str) -> Column:
 def shuffle(df: DataFrame, pid: Column | str, total: int, payload: Column | str | None = None) -> DataFrame:
     """Every row lands in the Spark partition numbered by its ``pid``, one exchange in all.
 
-    Null or out-of-range ids raise while the query runs. With ``payload`` given, rows whose payload is empty
+    Null or out-of-range ids raise while the query runs. Where ``pid`` names an int column, aggregates and joins on it
+    that follow need no exchange of their own. With ``payload`` given, rows whose payload is empty
     are skipped, as empty chunks are never sent.
     """
     if total <= 0:
@@ -23,7 +24,10 @@ def shuffle(df: DataFrame, pid: Column | str, total: int, payload: Column | str
     if payload is not None:
         df = df.where(F.octet_length(_column(payload).cast("string")) > 0)
     at = _column(pid).cast("int")
-    return df.repartitionById(total, F.when(at.isNull() | (at < 0) | (at >= total), F.raise_error(F.lit("partition id outside range")).cast("int")).otherwise(at))
+    checked = F.when(at.isNull() | (at < 0) | (at >= total), F.raise_error(F.lit("partition id outside range")).cast("int")).otherwise(at)
+    if isinstance(pid, str) and dict(df.dtypes).get(pid) == "int":
+        return df.withColumn(pid, checked).repartitionById(total, pid)
+    return df.repartitionById(total, checked)
 
 
 def hash_shuffle(df: DataFrame, total: int, *keys: Column | str) -> DataFrame:
