@@ -138,6 +138,16 @@ class Scanner:
                     return a, b, t.license, t.number, reduction, reduction - rest, missing, added
         return None
 
+    def notices(self, line: str, spans: list[tuple[int, int]], own: list[str], a: int, b: int) -> list[tuple]:
+        """All confirmed notices among the words from a to b, by place: the winner's, and those on either side of it."""
+        if a >= b or not any(w in self.triggers for w in own[a:b]):
+            return []
+        hit = self.confirmed(line[spans[a][0] : spans[b - 1][1]], own[a:b])
+        if hit is None:
+            return []
+        first, end = a + hit[0], a + hit[1]
+        return [*self.notices(line, spans, own, a, first), (first, end, *hit[2:]), *self.notices(line, spans, own, end, b)]
+
     def scan(self, text: str) -> list[tuple]:
         """block, start, end, license, template, reduction, margin, missing, added of each confirmed notice, by place."""
         out: list[tuple] = []
@@ -156,11 +166,10 @@ class Scanner:
                     for i, w in enumerate(own):
                         if w in triggers and i >= done:
                             a, b = max(done, i - self.reach), min(len(own), i + self.reach + 1)
-                            hit = self.confirmed(line[spans[a][0] : spans[b - 1][1]], own[a:b])
-                            if hit:
-                                first, end = a + hit[0], a + hit[1]
-                                out.append((number, at + spans[first][0], at + spans[end - 1][1], *hit[2:]))
+                            for first, end, *hit in self.notices(line, spans, own, a, b):
+                                out.append((number, at + spans[first][0], at + spans[end - 1][1], *hit))
                                 done = end
+                            done = max(done, i + 1)
             at += len(line) + 1
         return out
 

@@ -1,6 +1,6 @@
 """SimHash near-duplicates found through the anchor points of a covering code.
 
-The 64 bits of a fingerprint are cut into parts, three for a threshold of four or five bits, so that two fingerprints
+The 64 bits of a fingerprint are cut into parts, three for a threshold of up to five bits, so that two fingerprints
 within the threshold differ in at most one bit of some part. On a part of 21 or 22 bits the anchors are the words of a covering code: a Hamming code
 of length 15 on the low bits, every word on the rest; its covering radius is 1. A fingerprint is at home at its nearest
 anchor and replicated to every anchor within radius plus threshold, 1 + 1 bits, so both of a close pair meet at the
@@ -49,9 +49,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def parts_of(most: int) -> list[tuple[int, int]]:
-    """Lowest bit and width of the parts: so many that ``most`` differences leave one with at most one of them."""
-    n = most // 2 + 1
-    if not 0 <= most or 64 // n < CODE:
+    """Lowest bit and width of the parts: so many (three at least) that ``most`` differences leave one with at most one of them."""
+    n = max(3, most // 2 + 1)
+    if most < 0 or 64 // n < CODE:
         raise ValueError("the threshold must be from 0 to 7 bits")
     cuts = [-(-64 * i // n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
