@@ -52,40 +52,44 @@ def texts():
 
 
 @pytest.mark.parametrize(("width", "most"), [(4, 4), (5, 5), (2, 7), (4, 0)])
-def test_against_brute_force(spark, width, most):
+def test_against_brute_force(spark, width, most, monkeypatch):
     some = texts()
     rows = sorted(S.near_duplicates(docs_frame(spark, some), width, most).collect(), key=lambda r: r["doc_id"])
     fps = [(k, brute_fingerprint(t, width)) for k, t in enumerate(some)]
     assert [r["fp"] % (1 << 64) for r in rows] == [f for _, f in fps]
     assert [r["component_id"] for r in rows] == brute_components(fps, most)
+    if most <= 5:
+        monkeypatch.setattr(S, "WIDE_FROM", 0)
+        wide = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs_frame(spark, some), width, most).collect()}
+        assert wide == {r["doc_id"]: r["component_id"] for r in rows}
 
 
-@pytest.mark.parametrize("most", range(8))
-def test_every_close_pair_meets(most):
+@pytest.mark.parametrize(("most", "wide"), [*((k, False) for k in range(8)), *((k, True) for k in range(6))])
+def test_every_close_pair_meets(most, wide):
     """The covering property itself: whatever bits differ, both come to the home anchor of one of them."""
     rng = np.random.default_rng(most)
-    for _ in range(150):
+    for _ in range(100):
         x = int(rng.integers(1 << 63)) * 2 + int(rng.integers(2))
         y = x
         for b in rng.choice(64, most, replace=False):
             y ^= 1 << int(b)
         pair = np.array([x, y], np.uint64).view(np.int64)
-        anchor, fp, home = S.anchor_rows(pair, most)
+        anchor, fp, home = S.anchor_rows(pair, most, wide)
         assert set(anchor[(fp == pair[0]) & (home == 1)]) & set(anchor[fp == pair[1]])
     with pytest.raises(ValueError):
         S.parts_of(8)
 
 
 def test_anchors_are_code_words_within_radius():
-    for bits in (15, 16, 21, 22):
-        value = np.arange(1 << 15, dtype=np.int64)
-        found = S.syndromes(value)
-        assert np.array_equal(found == 0, S.syndromes(value ^ 0) == 0) and (found == 0).sum() == 1 << 11
+    for bits in (15, 16, 21, 22, 31, 33):
+        length = S.code_length(bits)
+        value = np.random.default_rng(bits).integers(1 << bits, size=20_000)
+        found = S.syndromes(value, length)
+        assert set(found.tolist()) == set(range(length + 1))
         for s, flips in enumerate(S.moves(bits)):
-            own = value[found == s][:50]
-            moved = own[:, None] ^ flips[None, :]
-            assert (S.syndromes((moved & 0x7FFF).ravel()) == 0).all()
-            assert np.bitwise_count(flips).max() <= 2 and np.bitwise_count(flips[0]) <= 1
+            moved = value[found == s][:50][:, None] ^ flips[None, :]
+            assert (S.syndromes(moved.ravel(), length) == 0).all()
+            assert np.bitwise_count(flips).max() <= 2 and np.bitwise_count(flips[0]) <= 1 and len(set(flips.tolist())) == len(flips)
 
 
 def test_large_groups_in_blocks(monkeypatch):
@@ -98,10 +102,12 @@ def test_large_groups_in_blocks(monkeypatch):
     assert len({stars.root(int(x)) for x in fps}) == 1 and len(stars.edges()) == len(fps) - 1
 
 
-def test_one_of_each(spark, awkward, nothing):
+def test_one_of_each(spark, awkward, nothing, monkeypatch):
     out = S.one_of_each(awkward)
     kept = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert out.columns == awkward.columns and len(kept) == len(set(kept))
+    monkeypatch.setattr(S, "WIDE_FROM", 0)  # wide parts find the same
+    assert sorted(map(str, kept)) == sorted(str((r["doc_id"], r["text"])) for r in S.one_of_each(awkward).collect())
     classes = {brute_fingerprint(t, 5) for t in [*AWKWARD, "no id here", "other text"]}
     assert len(kept) == len(set(brute_components(list(enumerate(classes)), 5)))
     assert S.one_of_each(nothing).count() == 0 and S.near_duplicates(nothing).count() == 0

@@ -1,16 +1,20 @@
 """SimHash near-duplicates found through the anchor points of a covering code.
 
-The 64 bits of a fingerprint are cut into parts, three for a threshold of up to five bits, so that two fingerprints
-within the threshold differ in at most one bit of some part. On a part of 21 or 22 bits the anchors are the words of a covering code: a Hamming code
-of length 15 on the low bits, every word on the rest; its covering radius is 1. A fingerprint is at home at its nearest
-anchor and replicated to every anchor within radius plus threshold, 1 + 1 bits, so both of a close pair meet at the
-home of either. Homes are compared with all that came to the anchor; a group's links leave it as a spanning star,
-never as all pairs, and a distributed union-find joins the stars.
+Parts of the 64 bits are taken such that two fingerprints within the threshold differ in at most one bit of some part.
+On a part the anchors are the words of a covering code: a Hamming code on its first bits, every word on the few that
+are left; its covering radius is 1. A fingerprint is at home at its nearest anchor and replicated to every anchor within
+radius plus threshold, 1 + 1 bits, so both of a close pair meet at the home of either. Homes are compared with all that
+came to the anchor; a group's links leave it as a spanning star, never as all pairs, and a distributed union-find joins
+the stars.
+
+Up to ``WIDE_FROM`` distinct fingerprints, parts are three ranges of 21 or 22 bits and a Hamming code of length 15: 44
+copies a fingerprint, 2^17 anchors a part. Beyond, groups would grow too large: parts are then unions of three of six
+ranges (of seven for five bits) and have 2^23 anchors or more, at the price of more copies.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm import _shared
 
-CODE = 15
 MOST_BITS = 4
+WIDE_FROM = 50_000_000
 PAIRS_AT_ONCE = 2_000_000
 
 
@@ -48,15 +52,50 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
 
 
-def parts_of(most: int) -> list[tuple[int, int]]:
-    """Lowest bit and width of the parts: so many (three at least) that ``most`` differences leave one with at most one of them."""
-    n = max(3, most // 2 + 1)
-    if most < 0 or 64 // n < CODE:
-        raise ValueError("the threshold must be from 0 to 7 bits")
+Part = list[tuple[int, int]]
+
+
+def _ranges(n: int) -> Part:
     cuts = [-(-64 * i // n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def parts_of(most: int, wide: bool = False) -> list[Part]:
+    """Parts as lists of (lowest bit, width) such that ``most`` differences leave one of them with one at most.
+
+    Wide parts are chosen greedily among the unions of three of six or seven ranges until every way to spread the differences
+    over the ranges is covered.
+    """
+    if not 0 <= most <= 7 or wide and most > 5:
+        raise ValueError("the threshold must be from 0 to 7 bits, to 5 with wide parts")
+    if not wide:
+        return [[r] for r in _ranges(max(3, most // 2 + 1))]
+    n = max(6, most + 2)
+    ranges = _ranges(n)
+    left = {x for x in product(range(most + 1), repeat=n) if sum(x) == most}
+    unions = list(combinations(range(n), 3))
+    chosen = []
+    while left:
+        best = max(unions, key=lambda u: sum(sum(x[i] for i in u) <= 1 for x in left))
+        chosen.append([ranges[i] for i in best])
+        left = {x for x in left if sum(x[i] for i in best) > 1}
+    return chosen
+
+
+def part_value(fps: np.ndarray, part: Part) -> tuple[np.ndarray, int]:
+    """The part's bits side by side, and how many they are."""
+    bits, out, at = fps.view(np.uint64), np.zeros(len(fps), np.int64), 0
+    for low, width in part:
+        out |= ((bits >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) << at
+        at += width
+    return out, at
+
+
+def code_length(bits: int) -> int:
+    """Of the longest Hamming code that fits."""
+    return (1 << (bits + 1).bit_length() - 1) - 1
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
@@ -73,34 +112,35 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return _rows(docs).mapInArrow(run, "doc_id bigint, row bigint, fp bigint")
 
 
-def syndromes(words: np.ndarray) -> np.ndarray:
-    """Of 15-bit words under the Hamming code whose check column of bit i is i + 1; 0 for code words."""
+def syndromes(words: np.ndarray, length: int) -> np.ndarray:
+    """Under the Hamming code whose check column of bit i is i + 1; 0 for code words."""
     out = np.zeros(len(words), np.int64)
-    for i in range(CODE):
+    for i in range(length):
         out ^= np.where(words >> i & 1, i + 1, 0)
     return out
 
 
 def moves(bits: int) -> list[np.ndarray]:
     """By syndrome: the bit flips (home first) that lead from a part's value to every anchor within two bits."""
-    free = [1 << i for i in range(CODE, bits)]
+    length = code_length(bits)
+    free = [1 << i for i in range(length, bits)]
     near = [[0, *free, *(a | b for a, b in combinations(free, 2))]]
-    for s in range(1, CODE + 1):
-        near.append([1 << (s - 1), *(1 << (s - 1) | f for f in free), *(1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, CODE + 1) if i < i ^ s <= CODE)])
+    for s in range(1, length + 1):
+        near.append([1 << (s - 1), *(1 << (s - 1) | f for f in free), *(1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, length + 1) if i < i ^ s <= length)])
     return [np.array(x, np.int64) for x in near]
 
 
-def anchor_rows(fps: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_rows(fps: np.ndarray, most: int = MOST_BITS, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor, fingerprint, home (1 or 0) of every copy that is sent out."""
     anchors, copies, home = [], [], []
-    for part, (low, bits) in enumerate(parts_of(most)):
-        value = (fps.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
-        found = syndromes(value & ((1 << CODE) - 1))
+    for number, part in enumerate(parts_of(most, wide)):
+        value, bits = part_value(fps, part)
+        found = syndromes(value, code_length(bits))
         for s, flips in enumerate(moves(bits)):
             own = found == s
             if own.any():
                 at = value[own][:, None] ^ flips[None, :]
-                anchors.append((at | part << 40).ravel())
+                anchors.append((at | number << 40).ravel())
                 copies.append(np.repeat(fps[own], len(flips)))
                 is_home = np.zeros(at.shape, np.int8)
                 is_home[:, 0] = 1
@@ -173,12 +213,14 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Sta
                 label[np.isin(label, apart)] = apart[0]
 
 
-def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def links(fps: DataFrame, most: int = MOST_BITS, wide: bool | None = None) -> DataFrame:
     """``u, v``: spanning links among the distinct fingerprints (column ``fp``) at most ``most`` bits apart."""
+    if wide is None:
+        wide = most <= 5 and fps.count() > WIDE_FROM
 
     def spread(batches):
         for b in batches:
-            anchors, copies, home = anchor_rows(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), most)
+            anchors, copies, home = anchor_rows(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), most, wide)
             for i in range(0, len(anchors), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(anchors[i : i + 65536]), pa.array(copies[i : i + 65536]), pa.array(home[i : i + 65536])], ["anchor", "fp", "home"])
 
