@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,13 +96,30 @@ def test_spill_policies(spark):
     with pytest.raises(ValueError):
         spill_policy.fifo(rows, -1)
     sizes = spark.createDataFrame([(k, n) for k, n in enumerate([1, 5, 8, 20, 3])], "id int, nbytes int")
-    assert spill_policy.best_fit(sizes, 6) == [(2, 8)]
-    assert spill_policy.best_fit(sizes, 23) == [(3, 20), (4, 3)]
-    assert len(spill_policy.best_fit(sizes, 100)) == 5
+
+    def taken(amount):
+        return [(r["id"], r["nbytes"]) for r in spill_policy.best_fit(sizes, amount).orderBy("place").collect()]
+
+    assert taken(6) == [(2, 8)] and taken(23) == [(3, 20), (4, 3)] and taken(0) == []
+    assert taken(100) == [(3, 20), (2, 8), (1, 5), (4, 3), (0, 1)]
     functions = spark.createDataFrame([(0, 0, 5), (1, 2, 3), (2, 2, 4)], "registered int, priority int, can_spill int")
     assert [(r["registered"], r["asked"]) for r in spill_policy.priority_cascade(functions, 6).orderBy("spilled_before").collect()] == [(1, 6), (2, 3)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_against_the_walk(spark, seed):
+    rng = random.Random(seed)
+    sizes, amount = [rng.randint(1, 12) for _ in range(10)], rng.randint(1, 60)
+    rows, left, want = sorted((n, k) for k, n in enumerate(sizes)), amount, []
+    while left > 0 and rows:
+        chosen = next((x for x in rows if x[0] >= left), rows[-1])
+        rows.remove(chosen)
+        want.append(chosen[1])
+        left -= chosen[0]
+    found = spill_policy.best_fit(spark.createDataFrame(list(enumerate(sizes)), "id int, nbytes int"), amount)
+    assert [r["id"] for r in found.orderBy("place").collect()] == want
+
+
 def test_reservations(spark):
     rows = spark.createDataFrame([(0, 10, 2), (1, 10, 1), (2, 30, 0)], "seq int, size int, net_memory_delta int").withColumn("m", F.lit(0))
     assert reservation.next_granted(rows, 20, ["m"]).first()["seq"] == 1

@@ -94,6 +94,12 @@ def test_round_robin_order(spark):
     assert [(r["producer"], r["seq"]) for r in out] == sorted(rows, key=lambda r: (r[1], r[0]))
 
 
+def test_totals_before(spark):
+    rows = spark.createDataFrame([(k, k * k % 7) for k in range(0, 300, 3)], "k bigint, v bigint")
+    out = pipeline.totals_before(rows, "k", "v", "before", block=10).orderBy("k").collect()
+    assert [r["before"] for r in out] == [sum(j * j % 7 for j in range(0, k, 3)) for k in range(0, 300, 3)]
+
+
 def test_actors(spark, tmp_path):
     with pytest.raises(TypeError):
         pipeline.define_actor(lambda: None)

@@ -114,6 +114,19 @@ def linearise(producers: Iterable[DataFrame], seq: str = "seq") -> DataFrame:
     return out.orderBy(seq)
 
 
+def totals_before(df: DataFrame, key: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a smaller ``key`` (unique whole numbers).
+
+    Keys are summed by blocks first; only the blocks' sums are run over in one task, then each block by itself.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(key) / block))
+    blocks = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_block", earlier.alias("_earlier"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", own).join(blocks, "_block").withColumn(name, (F.col("_earlier") + F.col("_own")).cast("bigint")).drop("_block", "_own", "_earlier")
+
+
 def round_robin_order(df: DataFrame, producer: str, order: str) -> DataFrame:
     """Adds ``ordinal`` and ``position``: one message of each producer in turn, as queues are drained.
 
@@ -122,10 +135,7 @@ def round_robin_order(df: DataFrame, producer: str, order: str) -> DataFrame:
     """
     nth = F.row_number().over(Window.partitionBy(producer).orderBy(order)).cast("bigint") - 1
     rows = df.withColumn("ordinal", nth)
-    per = rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("_n"))
-    # Producers of the same size leave together: the levels are as many as the largest producer has messages.
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = per.select("ordinal", before.alias("_before"))
+    levels = totals_before(rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("_n")), "ordinal", "_n", "_before").drop("_n")
     within = F.row_number().over(Window.partitionBy("ordinal").orderBy(producer)).cast("bigint") - 1
     return rows.withColumn("_within", within).join(levels, "ordinal").withColumn("position", F.col("_before") + F.col("_within")).drop("_before", "_within")
 

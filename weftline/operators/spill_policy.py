@@ -57,20 +57,25 @@ def headroom_amount(headroom: Column, available: Column) -> Column:
     return F.greatest(F.lit(0), headroom - available)
 
 
-def best_fit(df: DataFrame, amount: int, order: str = "id", size: str = "nbytes", most_chunks: int = 100_000) -> list[tuple[int, int]]:
-    """(id, bytes) in the order taken: the smallest chunk that covers what is left, or else the largest of all.
+def best_fit(df: DataFrame, amount: int, order: str = "id", size: str = "nbytes", partition_by: list[str] | None = None) -> DataFrame:
+    """Chunks in the ``place`` they are taken: the smallest that covers what is left, or else the largest of all.
 
-    Each choice depends on the one before. A chunk is only ever taken while it is the largest, but for the last, so the
-    choice is a walk down the sizes: one bounded, sorted list of a single memory's chunks suffices on the driver.
+    A chunk that doesn't cover what is left is only ever taken as the largest, so the choices are the largest chunks in
+    turn, up to the first that would cover what is left at its turn, and then the smallest that covers it. All of a
+    memory's chunks go where they don't suffice. Of equal sizes the youngest is the largest, the oldest the smallest.
     """
-    left, out = _non_negative(amount), []
-    rows = [tuple(r) for r in df.where(F.col(size) > 0).select(F.col(order), F.col(size).cast("bigint")).orderBy(F.asc(size), F.asc(order)).limit(most_chunks + 1).collect()]
-    if len(rows) > most_chunks:
-        raise ValueError(f"over {most_chunks} chunks in one memory")
-    if sum(n for _, n in rows) < amount:
-        return rows
-    while left > 0 and rows:
-        k = next((i for i, (_, n) in enumerate(rows) if n >= left), len(rows) - 1)
-        out.append(rows.pop(k))
-        left -= out[-1][1]
-    return out
+    keys = partition_by or []
+    size_of = F.col(size).cast("bigint")
+    falling = Window.partitionBy(*keys).orderBy(F.desc(size), F.desc(order))
+    before = F.coalesce(F.sum(size_of).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = df.where(F.col(size) > 0).withColumn("_left", F.lit(_non_negative(amount)) - before).withColumn("place", F.row_number().over(falling).cast("bigint") - 1)
+    covers = (F.col("_left") > 0) & (size_of >= F.col("_left"))
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumn("_stop", F.max(F.when(covers, F.col("_left"))).over(whole))
+    early = (F.col("_left") > 0) & (F.col("_stop").isNull() | (F.col("_left") > F.col("_stop")))
+    rows = rows.withColumn("_early", early).withColumn("_taken", F.sum(F.col("_early").cast("bigint")).over(whole))
+    can_end = ~F.col("_early") & (F.col("_stop").isNotNull()) & (size_of >= F.col("_stop"))
+    last = F.row_number().over(Window.partitionBy(*keys, F.col("_ends")).orderBy(F.asc(size), F.asc(order)))
+    rows = rows.withColumn("_ends", can_end).withColumn("_nth", last)
+    kept = rows.where(F.col("_early") | (F.col("_ends") & (F.col("_nth") == 1)))
+    return kept.withColumn("place", F.when(F.col("_early"), F.col("place")).otherwise(F.col("_taken"))).drop("_left", "_stop", "_early", "_taken", "_ends", "_nth")

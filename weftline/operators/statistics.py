@@ -78,9 +78,9 @@ def report(stats: DataFrame, entries: dict[str, list[str]], formats: dict[str, C
     rest = stats.where(~F.col("name").isin(list(claimed))).select(F.col("name").alias("label"), F.lit(True).alias("whole"), "count", "value", "max")
     shown = F.when(~F.col("whole"), F.lit("No data collected")).otherwise(_render(formats or {}))
     rows = found.unionByName(rest)
-    # A line per statistic name: bounded, so a constant key for the widest name is no bottleneck.
-    width = rows.agg(F.max(F.length("label")).alias("w"))
-    lines = rows.crossJoin(F.broadcast(width)).select("label", F.concat(F.lit(" - "), F.rpad(F.concat("label", F.lit(":")), F.col("w") + 3, " "), shown).alias("line"))
+    # A line per statistic name: few, and the widest of them is one number.
+    width = rows.agg(F.coalesce(F.max(F.length("label")), F.lit(0))).first()[0]
+    lines = rows.select("label", F.concat(F.lit(" - "), F.rpad(F.concat("label", F.lit(":")), width + 3, " "), shown).alias("line"))
     return lines.orderBy("label").select("line")
 
 

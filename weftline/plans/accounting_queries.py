@@ -110,8 +110,7 @@ def spill_priority(spark, sf_dir):
 
 
 def spill_best_fit(spark, sf_dir):
-    taken = spill_policy.best_fit(_objects(spark, sf_dir).where("rank = 1 and id < 2000"), 300)
-    return spark.createDataFrame([(k, *x) for k, x in enumerate(taken)], "place bigint, id bigint, nbytes bigint")
+    return spill_policy.best_fit(_objects(spark, sf_dir), 300, partition_by=["rank"]).select("rank", "place", "id", "nbytes")
 
 
 def reservation_order(spark, sf_dir):
@@ -249,8 +248,10 @@ ORACLES = {
     "parse_percents": "SELECT event_id, 10 * (event_id % 101 + 1) AS nbytes FROM events",
     "parse_durations": "SELECT event_id, (event_id % 90) * CASE event_id % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 WHEN 4 THEN 1 END AS seconds FROM events",
     "parse_words": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS flag, CASE event_id % 6 WHEN 0 THEN 'Yes' WHEN 2 THEN '42' WHEN 3 THEN '0' WHEN 5 THEN 'maybe' END AS kept, CAST(3 AS BIGINT) AS tokens FROM events",
-    "spill_best_fit": f"""WITH RECURSIVE c AS (SELECT id, nbytes FROM {_OBJECTS} WHERE rank = 1 AND id < 2000 AND nbytes > 0),
-        t AS (SELECT CAST(0 AS BIGINT) AS place, id, nbytes, 300 - nbytes AS left_over FROM (SELECT * FROM c ORDER BY nbytes < 300, CASE WHEN nbytes >= 300 THEN nbytes ELSE -nbytes END, CASE WHEN nbytes >= 300 THEN id ELSE -id END LIMIT 1)
-        UNION ALL SELECT place + 1, x.id, x.nbytes, left_over - x.nbytes FROM t, LATERAL (SELECT * FROM c WHERE (c.nbytes, c.id) < (t.nbytes, t.id) OR c.nbytes >= left_over AND (c.nbytes, c.id) <> (t.nbytes, t.id) ORDER BY nbytes < left_over, CASE WHEN nbytes >= left_over THEN nbytes ELSE -nbytes END, CASE WHEN nbytes >= left_over THEN id ELSE -id END LIMIT 1) x WHERE left_over > 0)
-        SELECT place, id, nbytes FROM t""",
+    "spill_best_fit": f"""WITH RECURSIVE c AS (SELECT rank, id, nbytes FROM {_OBJECTS} WHERE nbytes > 0),
+        t AS (SELECT rank, CAST(0 AS BIGINT) AS place, id, nbytes, 300 - nbytes AS left_over FROM c
+            QUALIFY row_number() OVER (PARTITION BY rank ORDER BY nbytes < 300, CASE WHEN nbytes >= 300 THEN nbytes ELSE -nbytes END, CASE WHEN nbytes >= 300 THEN id ELSE -id END) = 1
+        UNION ALL SELECT t.rank, place + 1, x.id, x.nbytes, left_over - x.nbytes FROM t, LATERAL (SELECT * FROM c WHERE c.rank = t.rank AND (c.nbytes, c.id) < (t.nbytes, t.id)
+            ORDER BY nbytes < left_over, CASE WHEN nbytes >= left_over THEN nbytes ELSE -nbytes END, CASE WHEN nbytes >= left_over THEN id ELSE -id END LIMIT 1) x WHERE left_over > 0)
+        SELECT rank, place, id, nbytes FROM t""",
 }

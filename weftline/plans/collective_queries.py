@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import chunks, collectives, ownership, pipeline, shuffle
@@ -45,8 +46,9 @@ def range_shuffle_ranks(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     ranged = shuffle.range_shuffle(rows, 4, "o_orderkey").withColumn("partition", F.spark_partition_id())
     ends = ranged.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
-    pairs = ends.alias("a").join(ends.alias("b"), F.col("a.partition") < F.col("b.partition"), "left")
-    return pairs.agg(F.coalesce(F.sum(F.when(F.col("a.high") > F.col("b.low"), 1)), F.lit(0)).cast("bigint").alias("out_of_order")).crossJoin(ends.agg(F.sum("n").alias("n")))
+    # A row per partition.
+    ends = ends.withColumn("next_low", F.lead("low").over(Window.orderBy("partition")))
+    return ends.agg(F.coalesce(F.sum((F.col("high") > F.col("next_low")).cast("bigint")), F.lit(0)).alias("out_of_order"), F.sum("n").alias("n"))
 
 
 def partition_vector_with_empties(spark, sf_dir):
