@@ -158,8 +158,16 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, held_
     if held_out:
         rows = rows.where(F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")) % held_out[0] != held_out[1])
     rows = rows.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    order = F.xxhash64("doc_id")
-    chosen = rows.where("toxic = 1").orderBy(order).limit(most_labelled // 2).unionByName(rows.where("toxic = 0").orderBy(order).limit(most_labelled // 2))
+    half = most_labelled // 2
+    rows = rows.withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    parts = []
+    for toxic, n in sorted((r[0], r[1]) for r in rows.groupBy("toxic").count().collect()):
+        # What hashes beyond twice the share that is wanted can't be among the least: few rows are left to order.
+        own = rows.where((F.col("toxic") == toxic) & (F.col("order") < (1 << 40) * min(1.0, 2.0 * half / n)))
+        parts.append(own.orderBy("order", "doc_id").limit(half).select("doc_id", "toxic"))
+    chosen = parts[0] if parts else rows.select("doc_id", "toxic")
+    for part in parts[1:]:
+        chosen = chosen.unionByName(part)
     chosen, _ = _shared.written(chosen, "labelled")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most most_labelled rows of two numbers: a bounded side.
