@@ -8,6 +8,7 @@ close too. Only lengths travel; tokens stay with their documents.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -32,12 +33,14 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, through a cache of encoded words.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in order.
-    Words are cut at ASCII white space. New ones are encoded together, set apart by a mark that is one token and one
-    word; a mark that ends a word is a token of its own, so the word is learned once for all of them. The tokenizer
-    lower-cases, so A-Z are lowered first. Texts that hold the mark or a special token's start go to it whole.
+    Words are cut at ASCII white space. New ones are encoded together: words of letters alone are told apart by the
+    tokens that end a word, others by a mark between them that is one token and one word. A punctuation sign at a
+    word's end is a token of its own, so the word is learned once for all of them. The tokenizer lower-cases, so A-Z
+    are lowered first. Texts that hold the mark or a special token's start go to it whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,41 +50,51 @@ class Encoder:
         alone = {m: ids[0] for m in MARKS if len(ids := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1}
         self.sign, self.mark = next(iter(alone.items()), (None, None))
         self.between = f" {self.sign} ".encode()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = None
+        if suffix:
+            self.closes = np.zeros(max(vocab.values()) + 1, bool)
+            self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        """Adds words to the cache. Of two generations the older goes when the younger is full; what is met stays."""
+        """Makes all words known. Of two generations of the cache the older goes when the younger is full; what is met stays."""
         if len(self.words) > CACHE // 2:
             self.older, self.words = self.words, {}
         known, older = self.words, self.older
+        words = words.difference(known)
         met = words.intersection(older)
         for w in met:
             known[w] = older[w]
         words = words - met
         ends = {w: w[:-1] for w in words if w[-1:] in END_MARKS and w[-2:-1].isalpha()}
         new = [w for w in {ends.get(w, w) for w in words}.difference(known)]
-        lines = [new[at : at + 256] for at in range(0, len(new), 256)]
-        for some, found in zip(lines, self.tokenizer.encode_batch_fast([self.between.join(x).decode() for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(some) - 1:
-                known.update((w, self.whole(w.decode())) for w in some)
-                continue
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            known.update(zip(some, [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)], strict=True))
+        plain = [w for w in new if w.isalpha() or w.decode().isalpha()] if self.closes is not None else []
+        self.split_at(plain, b" ", lambda ids: np.flatnonzero(self.closes[ids]) + 1, 0)
+        self.split_at(list(set(new).difference(plain)), self.between, lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
         for w, bare in ends.items():
             known[w] = known[bare] + self.ends[w[-1:]]
 
+    def split_at(self, words: list[bytes], between: bytes, stops, gap: int) -> None:
+        """Encodes words together; ``stops`` finds each one's end among the ids, ``gap`` ids before the next begins."""
+        lines = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for some, found in zip(lines, self.tokenizer.encode_batch_fast([between.join(x).decode() for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = 4 * stops(ids)
+            if len(cuts) != len(some):
+                self.words.update((w, self.whole(w.decode())) for w in some)
+                continue
+            data, firsts = ids.tobytes(), np.concatenate(([0], cuts[:-1] + 4 * gap))
+            self.words.update(zip(some, [data[i:j] for i, j in zip(firsts.tolist(), cuts.tolist(), strict=True)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Of a part of a batch: its words are held at once, and the cache must not turn over within it."""
+        """Of a part of a batch, whose words are all held at once."""
         odd = [self.sign is None or self.sign in t or "<|" in t for t in texts]
         split = [[] if o else (t.encode().lower() if HIGH.search(t) is None else t.encode()).split() for t, o in zip(texts, odd, strict=True)]
-        words = set().union(*split)
-        self.learn(words.difference(self.words))
-        if not words <= self.words.keys():
-            self.learn(words.difference(self.words))
+        self.learn(set().union(*split))
         get = self.words.__getitem__
         return [self.whole(t) if o else b"".join(map(get, s)) for t, s, o in zip(texts, split, odd, strict=True)]
 
@@ -97,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     def run(batches):
         encoders = worker_memory().setdefault("encoders", {})
         encoder = encoders[tokenizer] = encoders.get(tokenizer) or Encoder(tokenizer)
-        for b in (part for whole in batches for part in slices(whole, 1)):
+        for b in (part for whole in batches for part in slices(whole, 1, 4 << 20)):
             rows, ids = [], []
             for doc_id, data in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 data += b"\0\0\0\0"
