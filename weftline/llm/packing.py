@@ -1,9 +1,10 @@
 """Best-fit packing of tokenized documents into sequences, online and in bounded space.
 
-Pieces are dealt into groups of bounded size. A group is packed online: a fixed number of bins is open, a bitset keyed
-by free space finds the fullest bin that a piece still fits, and where another bin must open, the fullest closes. What
-is left in a group's open bins at its end is dealt anew into fewer groups, until one group is left, whose open bins
-close too. Only lengths travel; tokens stay with their documents.
+Pieces are dealt into groups of bounded size and arrive in each longest first. A group is packed online: a fixed number
+of bins is open, a bitset keyed by free space finds the fullest bin that a piece still fits, and where another bin must
+open, the fullest closes. At a group's end the bins that are all but full close as well; what is in the others is dealt
+anew into fewer groups, until one group is left, whose open bins close too. Only lengths travel; tokens stay with their
+documents.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +131,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each piece in order of arrival, and the bins that are open at the end.
+def best_fit(lengths: list[int], capacity: int, most_open: int, slack: int = 0) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each piece in order of arrival, and the bins that are open at the end with over ``slack`` free.
 
     A piece goes to the open bin with the least free space that holds it, the longest open of equals; where none
     does, a new bin opens, and if ``most_open`` are open already, the fullest of them closes first.
@@ -160,26 +162,27 @@ def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[in
         bins[i], offsets[i] = chosen, capacity - free
         free -= size
         if free:
-            by_free[free].append(chosen)
+            insort(by_free[free], chosen)
             bits |= 1 << free
             n_open += 1
-    return bins, offsets, sorted(x for own in by_free for x in own)
+    return bins, offsets, sorted(x for own in by_free[slack + 1 :] for x in own)
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, most_open: int = 512, group_rows: int = 16384) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, most_open: int = 16384, group_rows: int = 16384, slack: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (columns doc_id, piece, length; other columns are kept).
 
     Every piece gets a place, repeated rows one each. ``group_rows`` bounds the mean size of a group and with it a
-    task's memory; ``most_open`` the bins open at once. Pieces as long as a sequence fill one by themselves.
+    task's memory; ``most_open`` the bins open at once. Bins with at most ``slack`` tokens free (a 128th of the
+    capacity where not given) are full enough at a group's end. Pieces as long as a sequence fill one by themselves.
     """
-    spark = found.sparkSession
+    slack = capacity // 128 if slack is None else slack
     rows, _ = _shared.written(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
     placed_kind = "row bigint, length bigint, sequence_id bigint, offset bigint, open boolean"
 
     def packed(groups: int, level: int):
         def run(keys, group):
             lengths = group.column("length").to_pylist()
-            bins, offsets, left = best_fit(lengths, capacity, most_open)
+            bins, offsets, left = best_fit(lengths, capacity, most_open, slack)
             last = set(left) if groups > 1 else set()
             base = (level << 58) + (keys[0].as_py() << 28)
             return pa.table({"row": group.column("row"), "length": group.column("length"), "sequence_id": pa.array([base + x for x in bins], pa.int64()), "offset": pa.array(offsets, pa.int64()), "open": pa.array([x in last for x in bins], pa.bool_())})
@@ -191,7 +194,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, most_open: int = 512, group
     while True:
         groups = max(1, -(-count // group_rows))
         dealt = todo.withColumn("group", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
-        placed, _ = _shared.written(dealt.repartition("group").sortWithinPartitions("group", "row").groupBy("group").applyInArrow(packed(groups, level), placed_kind), "packed")
+        placed, _ = _shared.written(dealt.repartition("group").sortWithinPartitions("group", F.desc("length"), "row").groupBy("group").applyInArrow(packed(groups, level), placed_kind), "packed")
         done.append(placed.where(~F.col("open")).select("row", "sequence_id", "offset"))
         if groups == 1:
             break
