@@ -189,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, held_
     counts, _ = _shared.written(counts.where("toxic > 0"), "features")
     sums = {bytes(r[0]): (r[1], r[2]) for r in counts.where(F.col("feature").isin(b"", b"^")).collect()}
     n_toxic, n_other = sums.get(b"", (0, 0))
-    least = max(3, math.ceil(0.004 * sums.get(b"^", (0, 0))[0]))
-    # Only features over 3 times as common in toxic texts can tell; the bounded sample bounds them too.
+    least = max(3, math.ceil(0.02 * sums.get(b"^", (0, 0))[0]))
+    # What tells must stand in a fiftieth of the toxic texts: words of a family of near-copies of one of them do not.
     telling = counts.where((~F.col("feature").isin(b"", b"^")) & (F.col("toxic") >= least) & (F.col("toxic") * F.lit(max(1, n_other)) > 3.0 * F.col("other") * F.lit(max(1, n_toxic))))
     model = Model(learn_weights([(bytes(r[0]), r[1], r[2]) for r in telling.collect()], n_toxic, n_other))
     if not model.weights:
