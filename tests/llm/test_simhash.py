@@ -7,7 +7,7 @@ import xxhash
 
 from weftline.llm import simhash as S
 
-from .conftest import AWKWARD, docs_frame
+from .conftest import docs_frame
 
 
 def brute_fingerprint(text, width):
@@ -38,10 +38,10 @@ def brute_components(fps, most):
     return [least[root(i)] for i in range(n)]
 
 
-def texts():
+def texts(shortest=3):
     random.seed(6)
-    vocabulary = [f"W{k}" for k in range(300)]
-    base = [random.choices(vocabulary, k=random.randint(3, 400)) for _ in range(25)]
+    vocabulary = [f"W{k}" for k in range(300 if shortest < 10 else 3000)]
+    base = [random.choices(vocabulary, k=random.randint(shortest, 400)) for _ in range(25)]
     out = []
     for _ in range(120):
         words = list(random.choice(base))
@@ -99,17 +99,49 @@ def test_large_groups_in_blocks(monkeypatch):
     monkeypatch.setattr(S, "PAIRS_AT_ONCE", 5000)
     stars = S.Stars()
     S.link_groups(*S.anchor_rows(fps), stars)
-    assert len({stars.root(int(x)) for x in fps}) == 1 and len(stars.edges()) == len(fps) - 1
+    assert len({stars.root(int(x)) for x in fps}) == 1 and len(stars.links) == len(fps) - 1
+    assert all(bin((a ^ b) % (1 << 64)).count("1") <= 4 for a, b in stars.links)
+
+
+def shingle_sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts):
+    """By all pairs: texts without words are one group, others are linked at a similarity of 0.8 or more."""
+    sets = [shingle_sets(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if not sets[i] and not sets[j] or common and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_one_of_each_against_brute_force(spark):
+    some = texts(120)
+    kept = {r["doc_id"] for r in S.one_of_each(docs_frame(spark, some)).collect()}
+    want = set(brute_groups(some))
+    assert want <= kept and len(some) - len(kept) >= 0.9 * (len(some) - len(want)) > 0.5 * len(some)
 
 
 def test_one_of_each(spark, awkward, nothing, monkeypatch):
     out = S.one_of_each(awkward)
     kept = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert out.columns == awkward.columns and len(kept) == len(set(kept))
+    every = [r["text"] for r in awkward.collect()]
+    assert len(kept) == len(set(brute_groups(every)))
     monkeypatch.setattr(S, "WIDE_FROM", 0)  # wide parts find the same
     assert sorted(map(str, kept)) == sorted(str((r["doc_id"], r["text"])) for r in S.one_of_each(awkward).collect())
-    classes = {brute_fingerprint(t, 5) for t in [*AWKWARD, "no id here", "other text"]}
-    assert len(kept) == len(set(brute_components(list(enumerate(classes)), 5)))
     assert S.one_of_each(nothing).count() == 0 and S.near_duplicates(nothing).count() == 0
     again = docs_frame(spark, ["the very same text"])
     assert S.one_of_each(again.unionByName(again)).count() == 1

@@ -4,8 +4,8 @@ Parts of the 64 bits are taken such that two fingerprints within the threshold d
 On a part the anchors are the words of a covering code: a Hamming code on its first bits, every word on the few that
 are left; its covering radius is 1. A fingerprint is at home at its nearest anchor and replicated to every anchor within
 radius plus threshold, 1 + 1 bits, so both of a close pair meet at the home of either. Homes are compared with all that
-came to the anchor; a group's links leave it as a spanning star, never as all pairs, and a distributed union-find joins
-the stars.
+came to the anchor; a group's links leave it as a spanning forest, never as all pairs, and a distributed union-find
+joins the forests.
 
 Up to ``WIDE_FROM`` distinct fingerprints, parts are three ranges of 21 or 22 bits and a Hamming code of length 15: 44
 copies a fingerprint, 2^17 anchors a part. Beyond, groups would grow too large: parts are then unions of three of six
@@ -101,12 +101,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, row, fp`` per row; null and empty texts have fingerprint 0. ``row`` is a hash of doc_id and text."""
+def fingerprints(docs: DataFrame, width: int = 4, repeats: bool = True) -> DataFrame:
+    """``doc_id, row, fp`` per row; null and empty texts have fingerprint 0. ``row`` is a hash of doc_id and text.
+
+    Without ``repeats`` each distinct shingle counts once.
+    """
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t.as_py(), width)) for t in b.column(1)]
+            hashes = (shingle_hashes(t.as_py(), width) for t in b.column(1))
+            fps = [fingerprint(h if repeats else np.unique(h)) for h in hashes]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
     return _rows(docs).mapInArrow(run, "doc_id bigint, row bigint, fp bigint")
@@ -150,10 +154,11 @@ def anchor_rows(fps: np.ndarray, most: int = MOST_BITS, wide: bool = False) -> t
 
 
 class Stars:
-    """Union-find over numbers; holds what has been linked only."""
+    """Union-find over numbers; holds what has been linked only, and the links that joined what was apart."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         up = self.up
@@ -164,21 +169,24 @@ class Stars:
             up[x], x = top, up.get(x, x)
         return top
 
-    def link(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
+    def link(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
         if a != b:
             self.up[max(a, b)] = min(a, b)
             self.up.setdefault(min(a, b), min(a, b))
+            self.links.append((x, y))
 
-    def edges(self) -> list[tuple[int, int]]:
-        return [(x, top) for x in list(self.up) if (top := self.root(x)) != x]
+    def near(self, x: int, y: int) -> None:
+        """A link that is kept in any case."""
+        self.link(x, y)
+        self.links.append((x, y))
 
 
-def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Stars, most: int = MOST_BITS) -> None:
+def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Stars, most: int = MOST_BITS, nearest: int = 0) -> None:
     """Links fingerprints at most ``most`` bits apart that meet at an anchor, one of them at home there.
 
     Groups are taken in blocks of at most ``PAIRS_AT_ONCE`` comparisons; of one home's links only those that join
-    what was apart are kept.
+    what was apart are kept and, where asked for, those to its ``nearest``.
     """
     order = np.lexsort((-home, anchor))
     anchor, fp, home = anchor[order], fp[order], home[order]
@@ -196,7 +204,15 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Sta
         nth = np.arange(len(who)) - np.repeat(np.cumsum(h[at:upto]) - h[at:upto], h[at:upto])
         left = np.repeat(f[who] + nth, n[who])
         right = np.repeat(f[who], n[who]) + np.arange(len(left)) - np.repeat(np.cumsum(n[who]) - n[who], n[who])
-        hit = (left != right) & (np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= most)
+        apart = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64))
+        hit = (left != right) & (apart <= most)
+        if nearest and hit.any():
+            by = np.lexsort((right[hit], apart[hit], left[hit]))
+            one, other = left[hit][by], right[hit][by]
+            heads = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1])))
+            best = np.arange(len(one)) - np.repeat(heads, np.diff(np.append(heads, len(one)))) < nearest
+            for a, b in zip(fp[one[best]].tolist(), fp[other[best]].tolist(), strict=True):
+                stars.near(a, b)
         for a, b in zip(fp[left[hit]].tolist(), fp[right[hit]].tolist(), strict=True):
             stars.link(a, b)
         at = upto
@@ -204,7 +220,10 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Sta
         own = fp[f : f + n]
         label = np.arange(n)
         for i in range(h):
-            near = np.flatnonzero(np.bitwise_count((own ^ own[i]).view(np.uint64)) <= most)
+            bits = np.bitwise_count((own ^ own[i]).view(np.uint64))
+            near = np.flatnonzero(bits <= most)
+            for j in near[np.argsort(bits[near], kind="stable")[1 : nearest + 1]].tolist():
+                stars.near(int(own[i]), int(own[j]))
             roots = label[near]
             if (roots != roots[0]).any():
                 apart, where = np.unique(roots, return_index=True)
@@ -213,8 +232,11 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Sta
                 label[np.isin(label, apart)] = apart[0]
 
 
-def links(fps: DataFrame, most: int = MOST_BITS, wide: bool | None = None) -> DataFrame:
-    """``u, v``: spanning links among the distinct fingerprints (column ``fp``) at most ``most`` bits apart."""
+def links(fps: DataFrame, most: int = MOST_BITS, wide: bool | None = None, nearest: int = 0) -> DataFrame:
+    """``u, v``: spanning links among the distinct fingerprints (column ``fp``) at most ``most`` bits apart.
+
+    With ``nearest``, each fingerprint's links to so many of the nearest at its homes too.
+    """
     if wide is None:
         wide = most <= 5 and fps.count() > WIDE_FROM
 
@@ -228,8 +250,8 @@ def links(fps: DataFrame, most: int = MOST_BITS, wide: bool | None = None) -> Da
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
         if held:
             stars = Stars()
-            link_groups(*(np.concatenate(x) for x in zip(*held, strict=True)), stars, most)
-            edges = stars.edges()
+            link_groups(*(np.concatenate(x) for x in zip(*held, strict=True)), stars, most, nearest)
+            edges = list(set(stars.links))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     copies = fps.select("fp").mapInArrow(spread, "anchor bigint, fp bigint, home tinyint")
@@ -237,10 +259,9 @@ def links(fps: DataFrame, most: int = MOST_BITS, wide: bool | None = None) -> Da
 
 
 def _classes(docs: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints per row, and each distinct fingerprint's ``least`` row (doc_id, row) with its ``component``."""
+    """Fingerprints per row, and each distinct fingerprint with its ``least`` doc_id and its ``component``."""
     prints, _ = _shared.written(fingerprints(docs, width), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("first"))
-    classes, _ = _shared.written(least, "classes")
+    classes, _ = _shared.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = _shared.components(links(classes, most), "simhash")
     return prints, classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
@@ -259,17 +280,55 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> D
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, most: int = 5) -> DataFrame:
+def _alike(pairs: DataFrame, width: int, similar: float) -> DataFrame:
+    """The pairs (u, v, text, other) whose sets of shingles have a Jaccard similarity of ``similar`` or more, as u, v."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for text, other in zip(b.column(2), b.column(3), strict=True):
+                one, two = (np.unique(shingle_hashes(t.as_py(), width)) for t in (text, other))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(common >= similar * (len(one) + len(two) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("u", "v", "text", "other").mapInArrow(run, "u bigint, v bigint")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similar: float = 0.8, most: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, nulls first.
 
-    Rows that repeat doc_id and text are one. All columns stay as they are.
+    Candidates are texts whose fingerprints over distinct words are at most ``most`` bits apart: a word that changes
+    moves such a fingerprint far less than one over five-word shingles, of which it changes five. Each is compared with
+    the eight nearest at each of its homes, whoever they are homes of, and along a spanning forest of all that are near.
+    Candidates count as near-duplicates if their sets of ``width``-word shingles have a Jaccard similarity of ``similar`` or more. Equal
+    fingerprints are compared with the first and the last of their texts. Texts without words are one group. Rows that
+    repeat doc_id and text are one. All columns stay as they are.
     """
-    _, named = _classes(docs, width, most)
-    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r"))
-    first, _ = _shared.written(first, "first")
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = rows.join(first, (F.col("_row") == F.col("_r")) & rows["doc_id"].cast("bigint").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row"]).drop("_row")
+    prints, _ = _shared.written(fingerprints(docs, 1, repeats=False), "fingerprints")
+    hashed = _rows(docs).select("doc_id", "row", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("again"), "text").alias("t2")).distinct()
+    copies = prints.distinct().join(hashed, (prints["row"] == hashed["row"]) & prints["doc_id"].eqNullSafe(hashed["doc_id"])).select(prints["doc_id"], prints["row"], "fp", "t1", "t2")
+    texts = copies.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fp").alias("fp"))
+    texts, _ = _shared.written(texts.select(F.monotonically_increasing_id().alias("n"), "first", "fp"), "texts")
+
+    ends = texts.groupBy("fp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ends, _ = _shared.written(ends, "ends")
+    within = texts.join(ends.where("low < high").hint("shuffle_hash"), "fp").select("n", F.explode(F.array("low", "high")).alias("m")).where("n != m")
+    across = links(ends, most, nearest=8).join(ends.select(F.col("fp").alias("u"), F.col("low").alias("n")), "u").join(ends.select(F.col("fp").alias("v"), F.col("low").alias("m")), "v").select("n", "m")
+    pairs = within.unionByName(across).select(F.greatest("n", "m").alias("u"), F.least("n", "m").alias("v")).distinct()
+    pairs, _ = _shared.written(pairs, "pairs")
+
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
+    first = [F.coalesce("first.doc_id", F.lit(-1)).alias("_key"), F.col("first.row").alias("_row")]
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("n", *first)
+    held = rows.select("_key", "_row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted.hint("shuffle_hash"), ["_key", "_row"])
+    held, _ = _shared.written(held.select("n", "text").dropDuplicates(["n"]), "held")
+    both = pairs.join(held.select(F.col("n").alias("u"), "text"), "u").join(held.select(F.col("n").alias("v"), F.col("text").alias("other")), "v")
+    found = _shared.components(_alike(both, width, similar), "near-texts")
+
+    named = texts.join(found.withColumnRenamed("node", "n"), "n", "left").withColumn("component", F.when(F.col("fp") == 0, F.lit(-1)).otherwise(F.coalesce("component", "n")))
+    stays, _ = _shared.written(named.groupBy("component").agg(F.min("first").alias("first")).select(*first), "first")
+    return rows.join(stays, ["_key", "_row"], "left_semi").dropDuplicates(["_key", "_row"]).drop("_key", "_row")
 
 
 def op7_simhash_near_duplicates(spark, sf_dir):
