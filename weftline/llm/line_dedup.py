@@ -3,13 +3,17 @@
 A line's character shingles start at its words (and at every ideograph) and are hashed; the least hashes are its
 signature, and each two neighbours of the sorted signature are one band key. Lines that share a key and half of the
 smaller signature are compared by the Jaccard similarity of all their five-character shingles; links become components by a distributed union-find, and
-the first line of each component stays. Equal lines are one line from the start. A key's group is never paired out:
-its lines are compared with its first and its last line, so other keys must join lines that resemble neither.
+the first line of each component stays. Equal lines are one line from the start. Lines of few words have a second
+signature, of all their shingles.
+
+A key's lines are first compared with the first and the last of them. Where that leaves a group in several components,
+all pairs between components are compared: in a small group directly, in large ones where the rarest shingles meet, of
+which two lines alike share one for certain (prefix filter). So no pair that shares a key is left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import _shared
@@ -18,6 +22,9 @@ SHINGLE = 5
 ANCHORED = r"(?s)(?=(.{1,12}))(?:[⺀-鿿] *|[^ ⺀-鿿]+ *)"
 EVERY = r"(?s)(?=(.{5}))"
 LEAST_CHARS = 20
+FEW_WORDS = 12
+#: Larger groups of a key are split by rare shingles.
+SMALL_GROUP = 256
 SIMILAR = 0.8
 
 
@@ -36,6 +43,12 @@ def signature(line: Column, size: int) -> Column:
     return F.slice(F.array_distinct(F.slice(hashes, 1, 3 * size)), 1, size)
 
 
+def more_signature(line: Column, size: int) -> Column:
+    """Of a line of few words, the least distinct hashes of all its shingles; of others nothing."""
+    few = F.char_length(line) - F.char_length(F.translate(line, " ", "")) < FEW_WORDS
+    return F.when(few, F.slice(F.sort_array(F.array_distinct(shingles(line))), 1, size)).otherwise(F.array().cast("array<bigint>"))
+
+
 def band_keys(sig: Column) -> Column:
     """Of each two neighbours of the signature; of the one hash alone where there is no other."""
     pairs = F.zip_with(F.slice(sig, F.lit(1), F.greatest(F.size(sig) - 1, F.lit(0))), F.slice(sig, F.lit(2), F.greatest(F.size(sig) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
@@ -65,25 +78,25 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int =
     lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", normalized(F.col("line")))
     lines = lines.where(F.char_length("line") >= least_chars)
     at = F.struct("doc_id", "line_no", "row")
-    found, _ = _shared.written(lines.select(*identity(F.col("line")), at.alias("at"), signature(F.col("line"), size).alias("sig")), "lines")
-    unique = found.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.first("sig").alias("sig"))
-    unique = unique.select(F.monotonically_increasing_id().alias("n"), "h1", "h2", "at", (F.col("at") != F.col("last")).alias("copied"), "sig")
+    found, _ = _shared.written(lines.select(*identity(F.col("line")), at.alias("at"), signature(F.col("line"), size).alias("sig"), more_signature(F.col("line"), size).alias("more")), "lines")
+    unique = found.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.first("sig").alias("sig"), F.first("more").alias("more"))
+    unique = unique.select(F.monotonically_increasing_id().alias("n"), "h1", "h2", "at", (F.col("at") != F.col("last")).alias("copied"), "sig", "more")
     unique, _ = _shared.written(unique, "unique-lines")
 
     # The small sides of the joins have a row per key, so they are hashed and the large sides stay unsorted.
-    keys = unique.select("n", F.explode(band_keys(F.col("sig"))).alias("key"))
+    keys = unique.select("n", F.explode(F.array_union(band_keys(F.col("sig")), band_keys(F.col("more")))).alias("key"))
     ends = keys.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high")
-    grouped = keys.join(ends.hint("shuffle_hash"), "key").select("n", F.explode(F.array("low", "high")).alias("m")).where("n != m")
-    pairs = grouped.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m")).distinct()
+    grouped, _ = _shared.written(keys.join(ends.hint("shuffle_hash"), "key"), "line-groups")
+    pairs = grouped.select("n", F.explode(F.array("low", "high")).alias("m")).where("n != m")
+    pairs = pairs.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m")).distinct()
     pairs, _ = _shared.written(pairs, "line-pairs")
 
-    wanted = pairs.select(F.explode(F.array("n", "m")).alias("n")).distinct().join(unique.select("n", "at", "sig"), "n")
-    places = wanted.groupBy(F.col("at.doc_id").alias("d"), F.col("at.row").alias("r")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "n", "sig")).alias("places"))
+    wanted = pairs.select(F.explode(F.array("n", "m")).alias("n")).distinct().join(unique.select("n", "at", "sig", (F.size("more") > 0).alias("few")), "n")
+    places = wanted.groupBy(F.col("at.doc_id").alias("d"), F.col("at.row").alias("r")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "n", "sig", "few")).alias("places"))
     holding = texts.join(places.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(F.col("d")) & (texts["row"] == F.col("r"))).select(F.split("text", "\n").alias("all"), F.explode("places").alias("p"))
-    known, _ = _shared.written(holding.select(F.col("p.n").alias("n"), F.col("p.sig").alias("sig"), normalized(F.get("all", F.col("p.line_no"))).alias("line")).dropDuplicates(["n"]), "line-texts")
+    known, _ = _shared.written(holding.select(F.col("p.n").alias("n"), F.col("p.sig").alias("sig"), F.col("p.few").alias("few"), normalized(F.get("all", F.col("p.line_no"))).alias("line")).dropDuplicates(["n"]), "line-texts")
 
-    links = _verified(pairs, known, similar)
-    joined = _shared.components(links, "lines").withColumnRenamed("node", "n")
+    joined = _all_joined(grouped.select("key", "n"), known, _verified(pairs, known, similar), similar)
     placed = unique.select("n", "h1", "h2", "at", "copied").join(joined, "n", "left").where(F.col("copied") | F.col("component").isNotNull())
     placed = placed.withColumn("component", F.coalesce("component", "n"))
     stays = placed.groupBy("component").agg(F.min("at").alias("stays"))
@@ -93,15 +106,95 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int =
 
 
 def _verified(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    other = known.select(F.col("n").alias("m"), F.col("line").alias("other"), F.col("sig").alias("other_sig"))
+    other = known.select(F.col("n").alias("m"), F.col("line").alias("other"), F.col("sig").alias("other_sig"), F.col("few").alias("other_few"))
     shared = F.size(F.array_intersect("sig", "other_sig"))
-    compared = pairs.join(known, "n").join(other, "m").where(2 * shared >= F.least(F.size("sig"), F.size("other_sig")))
-    sets = compared.select("n", "m", shingles(F.col("line")).alias("a"), shingles(F.col("other")).alias("b"))
+    compared = pairs.join(known, "n").join(other, "m").where(F.col("few") | F.col("other_few") | (2 * shared >= F.least(F.size("sig"), F.size("other_sig"))))
+    return _linked(compared.select("n", "m", shingles(F.col("line")).alias("a"), shingles(F.col("other")).alias("b")), similar)
+
+
+def _linked(sets: DataFrame, similar: float) -> DataFrame:
     # Written before the filter, which would otherwise move below and evaluate the sets once for each mention.
     sizes, _ = _shared.written(sets.select("n", "m", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("all")), "line-sizes")
     return sizes.where(F.col("common") >= similar * F.col("all")).select(F.col("n").alias("u"), F.col("m").alias("v"))
 
 
+def _apart(groups: DataFrame, joined: DataFrame) -> DataFrame:
+    """The groups (key, n, ...) whose lines are in several components, with each line's and the group's number of lines."""
+    named = groups.join(joined, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("lines")).where("low < high")
+    return named.join(mixed.select("key", "lines").hint("shuffle_hash"), "key")
+
+
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """n, size, b0 to b7: the number of each line's distinct shingles, and 512 bits of which each sets one."""
+    each = lines.select("n", F.array_distinct(shingles(F.col("line"))).alias("set")).select("n", F.size("set").alias("size"), F.explode("set").alias("x"))
+    bits = [F.expr(f"coalesce(bit_or(CASE WHEN (x & 7) = {k} THEN shiftleft(1L, cast((x >> 3) & 63 AS int)) END), 0L)").alias(f"b{k}") for k in range(8)]
+    return each.groupBy("n").agg(F.first("size").alias("size"), *bits)
+
+
+def _compared(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    lines = known.select("n", "line")
+    both = pairs.join(lines, "n").join(lines.select(F.col("n").alias("m"), F.col("line").alias("other")), "m")
+    return _linked(both.select("n", "m", shingles(F.col("line")).alias("a"), shingles(F.col("other")).alias("b")), similar)
+
+
+def _across(groups: DataFrame, bitmaps: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """Links between the components of each group. Sets differ in no fewer shingles than their bitmaps in bits, so what is left out here can't be alike."""
+    sized = groups.select("key", "n", "component").join(bitmaps, "n")
+    other = sized.select("key", *(F.col(c).alias(f"{c}_") for c in sized.columns if c != "key"))
+    differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_"))) for k in range(8)), F.lit(0))
+    near = differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("size") + F.col("size_")) + 1e-6
+    pairs = sized.join(other, "key").where((F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_")) & near)
+    return _compared(pairs.select("n", F.col("n_").alias("m")).distinct(), known, similar)
+
+
+def _neighbours(groups: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """Links of each line to the next two of its group, by its characters from the front and from the back."""
+    lines = groups.select("key", "n").join(known.select("n", "line"), "n")
+    orders = [Window.partitionBy("key").orderBy(by, "n") for by in ("line", F.reverse("line"))]
+    beside = lines.select("n", F.array(*(F.lead("n", k).over(w) for w in orders for k in (1, 2))).alias("next"))
+    beside = beside.select("n", F.explode("next").alias("m")).where("m IS NOT NULL")
+    return _compared(beside.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m")).distinct(), known, similar)
+
+
+def _rare(lines: DataFrame, similar: float) -> DataFrame:
+    """key, n: so many of each line's rarest shingles that two lines of a similarity of ``similar`` share one of them."""
+    sets = lines.select("n", F.array_distinct(shingles(F.col("line"))).alias("set"))
+    each = sets.select("n", F.size("set").alias("size"), F.explode("set").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    some = each.join(often, "key").groupBy("n", "size").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+    first = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-6) + 1
+    # Shingles of one line alone are the rarest of all and meet nothing.
+    left = F.greatest(F.lit(0), first - (F.col("size") - F.size("shared"))).cast("int")
+    return some.select("n", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("x.key", "n")
+
+
+def _all_joined(groups: DataFrame, known: DataFrame, links: DataFrame, similar: float) -> DataFrame:
+    """``n, component`` of all links among each key's lines, from those found so far."""
+
+    def joined(links):
+        out, _ = _shared.written(_shared.components(links, "lines").withColumnRenamed("node", "n"), "line-components")
+        return out
+
+    now = joined(links)
+    apart, _ = _shared.written(_apart(groups, now).where("lines > 2"), "groups-apart")
+    if apart.isEmpty():
+        return now
+    bitmaps, _ = _shared.written(_bitmaps(known.join(apart.select("n").distinct(), "n")), "line-bitmaps")
+    found = _across(apart.where(F.col("lines") <= SMALL_GROUP), bitmaps, known, similar)
+    large = apart.where(F.col("lines") > SMALL_GROUP)
+    some_large = not large.isEmpty()
+    if some_large:
+        found = found.unionByName(_neighbours(large, known, similar))
+    now = joined(now.select(F.col("n").alias("u"), F.col("component").alias("v")).unionByName(found))
+    if not some_large:
+        return now
+    left = _apart(large.select("key", "n"), now).select("n").distinct()
+    rare, _ = _shared.written(_rare(known.join(left, "n"), similar), "rare-shingles")
+    found = _across(_apart(rare, now), bitmaps, known, similar)
+    return joined(now.select(F.col("n").alias("u"), F.col("component").alias("v")).unionByName(found))
+
+
 def _matched(docs: DataFrame, **options) -> DataFrame:
     dropped = dropped_lines(docs, **options).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "dropped")
     rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
