@@ -51,6 +51,15 @@ def test_insertions_split_a_passage(spark):
     assert (row["item_id"], row["matched"]) == (2, len(words))
 
 
+@pytest.mark.parametrize(("size", "replaced"), [(30, range(12, 18)), (20, range(8, 12)), (12, [5]), (7, [3]), (10, [2, 6]), (13, [0, 6])])
+def test_several_words_in_a_row_and_short_items(size, replaced):
+    item = " ".join(random.sample(VOCABULARY, size))
+    words = [f"other{i}" if i in replaced else w for i, w in enumerate(item.split())]
+    index = D.Index([(5, item)])
+    ids = np.array([index.vocab.get(w, -1) for w in D.tokens("before it " + " ".join(words) + " after it")])
+    assert [x[:3] for x in index.overlaps(ids)] == [(5, size, size - len(replaced))]
+
+
 def test_short_overlaps_are_left_alone(spark):
     text = filler(40) + " " + " ".join(ITEMS[0].split()[:9]) + " " + filler(40)
     assert D.contaminated(docs_frame(spark, [text, "too few words"]), bench(spark)).count() == 0

@@ -2,8 +2,10 @@
 
 A seed is a fixed mask over consecutive tokens: tokens at its ones are hashed, those at its zeros may differ. Equal
 seed hashes of a document and a benchmark item fix an alignment, which is then compared token by token: the best
-scoring stretch (a match +1, a mismatch -2) counts where it is long enough, substitutions included. Stretches of
-several alignments of one item add up by the item's positions that they match, so insertions split a passage only.
+scoring stretch (a match +1, a mismatch -2), and those on either side of it, count where they are long enough,
+substitutions included. Stretches of one item add up by the item's positions that they match, so insertions and longer
+substitutions split a passage only. Short items are cut into one part more than they may have substitutions, of which
+one stands in the document as it is: the parts are their seeds.
 """
 
 from __future__ import annotations
@@ -62,6 +64,24 @@ def best_stretch(same: np.ndarray, penalty: int = 2) -> tuple[int, int]:
     return int(sums[: end + 1].argmin()) if end else 0, end
 
 
+def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Bounds of the best stretch and of those on either side of it in turn, with at least ``least`` matches each."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        if same[lo:hi].sum() >= least:
+            a, b = best_stretch(same[lo:hi])
+            if same[lo + a : lo + b].sum() >= least:
+                out.append((lo + a, lo + b))
+            todo += [(lo, lo + a), (lo + b, hi)]
+    return out
+
+
+def wanted(n: int, min_words: int) -> int:
+    """Matches that an item of ``n`` words needs: four fifths of it, at most ``min_words``."""
+    return min(min_words, -(-4 * n // 5))
+
+
 class Index:
     """Benchmark items by their seed hashes. Size: proportional to the benchmark alone."""
 
@@ -81,13 +101,27 @@ class Index:
                 where.append(np.stack([np.full(len(at), k), at], 1))
             h, w = np.concatenate(hashes), np.concatenate(where)
             order = np.argsort(h, kind="stable")
-            self.seeds.append((h[order], w[order]))
+            self.seeds.append((mask, h[order], w[order]))
+        parts = defaultdict(list)
+        for k, (_, ids) in enumerate(self.items):
+            if self.short(len(ids)):
+                n = len(ids) - wanted(len(ids), min_words) + 1
+                parts[len(ids) // n] += [(k, i * (len(ids) // n)) for i in range(n)]
+        for width, where in parts.items():
+            h = np.concatenate([seed_hashes(self.items[k][1], "1" * width, np.array([at])) for k, at in where])
+            order = np.argsort(h, kind="stable")
+            self.seeds.append(("1" * width, h[order], np.array(where, np.int64)[order]))
+
+    @staticmethod
+    def short(n: int) -> bool:
+        """Too few words for the masks to meet whatever the substitutions."""
+        return 7 <= n < 16
 
     def alignments(self, ids: np.ndarray) -> set[tuple[int, int]]:
         """Item numbers with the document position of the item's first token, of all seed hits."""
         found: set[tuple[int, int]] = set()
         known = ids >= 0
-        for mask, (h, where) in zip(self.masks, self.seeds, strict=True):
+        for mask, h, where in self.seeds:
             at = usable(known, mask)
             if not len(at) or not len(h):
                 continue
@@ -104,28 +138,31 @@ class Index:
             item = self.items[k][1]
             lo, hi = max(0, -start), min(len(item), len(ids) - start)
             same = ids[start + lo : start + hi] == item[lo:hi]
-            a, b = best_stretch(same)
-            hits = int(same[a:b].sum())
-            if hits >= min(7, len(item)):
-                by[k].append((hits, lo + a, lo + b, start))
+            found = stretches(same, min(7, len(item)))
+            if self.short(len(item)) and same.sum() >= wanted(len(item), self.min_words):
+                at = np.flatnonzero(same)
+                found = [(int(at[0]), int(at[-1]) + 1)]
+            by[k] += [(int(same[a:b].sum()), lo + a, lo + b, start) for a, b in found]
         out = []
-        for k, stretches in by.items():
+        for k, some in by.items():
+            if not some:
+                continue
             item_id, item = self.items[k]
             hit, over = np.zeros(len(item), bool), np.zeros(len(item), bool)
-            for _, a, b, start in stretches:
+            for _, a, b, start in some:
                 hit[a:b] |= ids[start + a : start + b] == item[a:b]
                 over[a:b] = True
             matched = int(hit.sum())
-            if matched >= min(self.min_words, len(item)):
-                out.append((item_id, len(item), matched, int(over.sum()) - matched, min(s + a for _, a, _, s in stretches), max(s + b for _, _, b, s in stretches)))
+            if matched >= wanted(len(item), self.min_words):
+                out.append((item_id, len(item), matched, int(over.sum()) - matched, min(s + a for _, a, _, s in some), max(s + b for _, _, b, s in some)))
         return sorted(out)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per pair of document and benchmark item that share a passage (columns of ``SCHEMA``).
 
-    A pair is reported where at least ``min_words`` of the item's words (all, for shorter items) lie in verified
-    stretches of at least seven matches. Items of fewer than seven words are never seeded and so never reported.
+    A pair is reported where at least ``min_words`` of the item's words (four fifths, where that is less) lie in verified
+    stretches of at least seven matches, or, of an item of 7 to 15 words, match anywhere in one alignment. Items of fewer than seven words are never seeded and so never reported.
     Texts are read whole; null texts hold no words; rows with a null item_id are ignored; repeated rows give
     repeated pairs per document row and one per item row. Other columns are ignored.
 
