@@ -1,14 +1,15 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame operations alone.
 
-A line's character shingles start at its words (and at every ideograph) and are hashed; the least hashes are its
-signature, and each two neighbours of the sorted signature are one band key. Lines that share a key and half of the
-smaller signature are compared by the Jaccard similarity of all their five-character shingles; links become components by a distributed union-find, and
-the first line of each component stays. Equal lines are one line from the start. Lines of few words have a second
-signature, of all their shingles.
-
-A key's lines are first compared with the first and the last of them. Where that leaves a group in several components,
-all pairs between components are compared: in a small group directly, in large ones where the rarest shingles meet, of
-which two lines alike share one for certain (prefix filter). So no pair that shares a key is left out.
+A line's signature is the least distinct hashes of its eight-character shingles: of those that start with one of a fixed
+set of characters (every character beyond ASCII is one), so that which shingles count depends on their own text alone,
+and of all shingles where these are few. Each three neighbours of the sorted signature are a band. Lines that share a
+band and enough of their signatures are compared by the Jaccard similarity of all their five-character shingles; links
+become components by a distributed union-find, and the first line of each component stays. Equal lines are one line
+from the start.
+
+A band's lines are first compared with the first of them. Where that leaves a group in several components, all pairs
+between components are compared: in a small group directly, in large ones where the rarest shingles meet, of which two
+lines alike share one for certain (prefix filter). So no pair that shares a band is left out.
 """
 
 from __future__ import annotations
@@ -19,11 +20,17 @@ from pyspark.sql import functions as F
 from weftline.llm import _shared
 
 SHINGLE = 5
-ANCHORED = r"(?s)(?=(.{1,12}))(?:[⺀-鿿] *|[^ ⺀-鿿]+ *)"
+#: Eight characters, of which the first is one of few: those whose code is 4 modulo 8, and all beyond ASCII.
+SAMPLED = r"(?s)(?=([$,4<\\dlt|[^\x00-\x7f]].{7}))"
+EIGHT = r"(?s)(?=(.{8}))"
 EVERY = r"(?s)(?=(.{5}))"
 LEAST_CHARS = 20
-FEW_WORDS = 12
-#: Larger groups of a key are split by rare shingles.
+#: Lines with fewer sampled shingles are known by all of theirs, those with still fewer by these alone.
+FEW, FEWEST = 24, 16
+BAND = 3
+#: Hashes that two signatures share at least; lines of 0.8 similarity share eleven of fourteen on the average, fewer than five once in 10^4.
+LEAST_SHARED = 5
+#: Larger groups of a band are split by rare shingles.
 SMALL_GROUP = 256
 SIMILAR = 0.8
 
@@ -37,22 +44,31 @@ def identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("again"), line).alias("h2")]
 
 
-def signature(line: Column, size: int) -> Column:
-    """The least distinct hashes of the anchored shingles, sorted."""
-    hashes = F.sort_array(F.transform(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)), lambda x: F.xxhash64(x)))
-    return F.slice(F.array_distinct(F.slice(hashes, 1, 3 * size)), 1, size)
+def least_hashes(strings: Column, size: int) -> Column:
+    """The least distinct hashes of 32 bits, sorted."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(strings, lambda x: F.shiftright(F.xxhash64(x), 32).cast("int")))), 1, size)
 
 
-def more_signature(line: Column, size: int) -> Column:
-    """Of a line of few words, the least distinct hashes of all its shingles; of others nothing."""
-    few = F.char_length(line) - F.char_length(F.translate(line, " ", "")) < FEW_WORDS
-    return F.when(few, F.slice(F.sort_array(F.array_distinct(shingles(line))), 1, size)).otherwise(F.array().cast("array<bigint>"))
+def signatures(lines: DataFrame, size: int) -> DataFrame:
+    """``lines`` with ``sig``, of the sampled shingles, and ``more``, of all where the sampled are few; else null."""
+    found = lines.withColumn("some", F.regexp_extract_all("line", F.lit(SAMPLED), F.lit(1)))
+    every = F.regexp_extract_all("line", F.lit(EIGHT), F.lit(1))
+    return found.select(*lines.columns, F.when(F.size("some") >= FEWEST, least_hashes(F.col("some"), size)).alias("sig"), F.when(F.size("some") < FEW, least_hashes(every, size)).alias("more"))
 
 
-def band_keys(sig: Column) -> Column:
-    """Of each two neighbours of the signature; of the one hash alone where there is no other."""
-    pairs = F.zip_with(F.slice(sig, F.lit(1), F.greatest(F.size(sig) - 1, F.lit(0))), F.slice(sig, F.lit(2), F.greatest(F.size(sig) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(sig) > 1, pairs).otherwise(sig)
+def windows(sig: Column, width: int) -> Column:
+    """A hash of each ``width`` neighbours."""
+    n = F.greatest(F.size(sig) - (width - 1), F.lit(0))
+    out = F.slice(sig, F.lit(1), n)
+    for k in range(1, width):
+        out = F.zip_with(out, F.slice(sig, F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))
+    return out
+
+
+def bands(sig: Column, size: int) -> Column:
+    """Windows of three; of a signature that isn't full also those of two, of the shortest the whole. None of null."""
+    short = F.when(F.size(sig) < BAND, F.array(F.xxhash64(sig))).otherwise(F.concat(windows(sig, BAND), F.when(F.size(sig) < size, windows(sig, 2)).otherwise(F.array().cast("array<bigint>"))))
+    return F.when(sig.isNotNull(), short).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingles(line: Column) -> Column:
@@ -66,61 +82,64 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int = LEAST_CHARS, size: int = 8) -> DataFrame:
+def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int = LEAST_CHARS, size: int = 14) -> DataFrame:
     """``doc_id, row, dropped``: the numbers (from 0) of each document's lines that go; documents that lose none aren't listed.
 
     Lines are what ``\\n`` separates, compared without the white space around them and without case. Lines of fewer
     than ``least_chars`` characters are never dropped. Of a component's lines that with the smallest doc_id and line
     number stays; null doc_ids come first. ``row`` is a 64-bit hash of doc_id and text and tells apart rows that
-    share a doc_id; rows that repeat both are one document.
+    share a doc_id; rows that repeat both are one document. Null and empty texts have no line to drop, nor has an
+    empty table.
     """
     texts = _keyed(docs)
     lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", normalized(F.col("line")))
-    lines = lines.where(F.char_length("line") >= least_chars)
-    at = F.struct("doc_id", "line_no", "row")
-    found, _ = _shared.written(lines.select(*identity(F.col("line")), at.alias("at"), signature(F.col("line"), size).alias("sig"), more_signature(F.col("line"), size).alias("more")), "lines")
+    lines = lines.where(F.char_length("line") >= least_chars).select(*identity(F.col("line")), F.struct("doc_id", "line_no", "row").alias("at"), "line")
+    found, _ = _shared.written(signatures(lines, size).drop("line"), "lines")
     unique = found.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.first("sig").alias("sig"), F.first("more").alias("more"))
     unique = unique.select(F.monotonically_increasing_id().alias("n"), "h1", "h2", "at", (F.col("at") != F.col("last")).alias("copied"), "sig", "more")
     unique, _ = _shared.written(unique, "unique-lines")
 
-    # The small sides of the joins have a row per key, so they are hashed and the large sides stay unsorted.
-    keys = unique.select("n", F.explode(F.array_union(band_keys(F.col("sig")), band_keys(F.col("more")))).alias("key"))
-    ends = keys.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high")
-    grouped, _ = _shared.written(keys.join(ends.hint("shuffle_hash"), "key"), "line-groups")
-    pairs = grouped.select("n", F.explode(F.array("low", "high")).alias("m")).where("n != m")
-    pairs = pairs.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m")).distinct()
-    pairs, _ = _shared.written(pairs, "line-pairs")
+    # Dealt once: counted and joined where they are. The counts have a row per key, so they are hashed and nothing is sorted.
+    keys = unique.select("n", F.explode(F.array_distinct(F.concat(bands(F.col("sig"), size), bands(F.col("more"), size)))).alias("key")).repartition("key")
+    ends = keys.groupBy("key").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    groups, _ = _shared.written(keys.join(ends.hint("shuffle_hash"), "key"), "line-groups")
 
-    wanted = pairs.select(F.explode(F.array("n", "m")).alias("n")).distinct().join(unique.select("n", "at", "sig", (F.size("more") > 0).alias("few")), "n")
-    places = wanted.groupBy(F.col("at.doc_id").alias("d"), F.col("at.row").alias("r")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "n", "sig", "few")).alias("places"))
+    wanted = groups.select("n").distinct().join(unique.select("n", "at", F.concat(_given("sig"), _given("more")).alias("sig")), "n")
+    places = wanted.groupBy(F.col("at.doc_id").alias("d"), F.col("at.row").alias("r")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "n", "sig")).alias("places"))
     holding = texts.join(places.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(F.col("d")) & (texts["row"] == F.col("r"))).select(F.split("text", "\n").alias("all"), F.explode("places").alias("p"))
-    known, _ = _shared.written(holding.select(F.col("p.n").alias("n"), F.col("p.sig").alias("sig"), F.col("p.few").alias("few"), normalized(F.get("all", F.col("p.line_no"))).alias("line")).dropDuplicates(["n"]), "line-texts")
+    known, _ = _shared.written(holding.select(F.col("p.n").alias("n"), F.col("p.sig").alias("sig"), normalized(F.get("all", F.col("p.line_no"))).alias("line")).dropDuplicates(["n"]), "line-texts")
 
-    joined = _all_joined(grouped.select("key", "n"), known, _verified(pairs, known, similar), similar)
+    joined = _all_joined(groups, known, similar)
     placed = unique.select("n", "h1", "h2", "at", "copied").join(joined, "n", "left").where(F.col("copied") | F.col("component").isNotNull())
-    placed = placed.withColumn("component", F.coalesce("component", "n"))
-    stays = placed.groupBy("component").agg(F.min("at").alias("stays"))
-    moved = placed.select("h1", "h2", "component").join(stays, "component").select("h1", "h2", "stays")
-    gone = found.select("h1", "h2", "at").join(moved.hint("shuffle_hash"), ["h1", "h2"]).where(F.col("at") != F.col("stays"))
-    return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")).agg(F.sort_array(F.collect_set("at.line_no")).alias("dropped"))
+    placed, _ = _shared.written(placed.select("h1", "h2", "at", F.coalesce("component", "n").alias("component")), "line-families")
+    stays = placed.groupBy("component").agg(F.min("at").alias("at")).select(*(F.col(f"at.{c}").alias(f"{c}_") for c in ("doc_id", "line_no", "row")))
+    copies = found.select("h1", "h2", "at").join(placed.select("h1", "h2").hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("at.*")
+    gone = copies.join(stays, (F.col("row") == F.col("row_")) & (F.col("line_no") == F.col("line_no_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left_anti")
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def _verified(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    other = known.select(F.col("n").alias("m"), F.col("line").alias("other"), F.col("sig").alias("other_sig"), F.col("few").alias("other_few"))
-    shared = F.size(F.array_intersect("sig", "other_sig"))
-    compared = pairs.join(known, "n").join(other, "m").where(F.col("few") | F.col("other_few") | (2 * shared >= F.least(F.size("sig"), F.size("other_sig"))))
-    return _linked(compared.select("n", "m", shingles(F.col("line")).alias("a"), shingles(F.col("other")).alias("b")), similar)
+def _given(sig: str) -> Column:
+    return F.coalesce(sig, F.array().cast("array<int>"))
 
 
-def _linked(sets: DataFrame, similar: float) -> DataFrame:
+def _linked(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """The pairs (n, m) of lines whose sets of shingles are alike, as u, v."""
+    lines = known.select("n", "line")
+    both = pairs.join(lines, "n").join(lines.select(F.col("n").alias("m"), F.col("line").alias("other")), "m")
+    sets = both.select("n", "m", shingles(F.col("line")).alias("a"), shingles(F.col("other")).alias("b"))
     # Written before the filter, which would otherwise move below and evaluate the sets once for each mention.
     sizes, _ = _shared.written(sets.select("n", "m", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("all")), "line-sizes")
     return sizes.where(F.col("common") >= similar * F.col("all")).select(F.col("n").alias("u"), F.col("m").alias("v"))
 
 
+def _share_enough(sig: Column, other: Column) -> Column:
+    """Of lines of few shingles, in which a change moves most of the signature, nothing is asked."""
+    return (F.least(F.size(sig), F.size(other)) < 2 * LEAST_SHARED) | (F.size(F.array_intersect(sig, other)) >= LEAST_SHARED)
+
+
 def _apart(groups: DataFrame, joined: DataFrame) -> DataFrame:
-    """The groups (key, n, ...) whose lines are in several components, with each line's and the group's number of lines."""
-    named = groups.join(joined, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    """The groups (key, n, ...) whose lines are in several components, with each line's component and the group's number of lines."""
+    named = groups.select("key", "n").join(joined, "n", "left").withColumn("component", F.coalesce("component", "n"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("lines")).where("low < high")
     return named.join(mixed.select("key", "lines").hint("shuffle_hash"), "key")
 
@@ -132,29 +151,26 @@ def _bitmaps(lines: DataFrame) -> DataFrame:
     return each.groupBy("n").agg(F.first("size").alias("size"), *bits)
 
 
-def _compared(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    lines = known.select("n", "line")
-    both = pairs.join(lines, "n").join(lines.select(F.col("n").alias("m"), F.col("line").alias("other")), "m")
-    return _linked(both.select("n", "m", shingles(F.col("line")).alias("a"), shingles(F.col("other")).alias("b")), similar)
+def _pairs(sided: DataFrame, near) -> DataFrame:
+    """``n, m`` of each key's lines of different components for which ``near`` holds of the columns and their twins."""
+    other = sided.select("key", *(F.col(c).alias(f"{c}_") for c in sided.columns if c != "key"))
+    pairs = sided.join(other, "key").where((F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_")) & near)
+    return pairs.select("n", F.col("n_").alias("m")).distinct()
 
 
-def _across(groups: DataFrame, bitmaps: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    """Links between the components of each group. Sets differ in no fewer shingles than their bitmaps in bits, so what is left out here can't be alike."""
-    sized = groups.select("key", "n", "component").join(bitmaps, "n")
-    other = sized.select("key", *(F.col(c).alias(f"{c}_") for c in sized.columns if c != "key"))
+def _differ_little(similar: float) -> Column:
+    """Sets differ in no fewer shingles than their bitmaps in bits, so what this leaves out can't be alike."""
     differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_"))) for k in range(8)), F.lit(0))
-    near = differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("size") + F.col("size_")) + 1e-6
-    pairs = sized.join(other, "key").where((F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_")) & near)
-    return _compared(pairs.select("n", F.col("n_").alias("m")).distinct(), known, similar)
+    return differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("size") + F.col("size_")) + 1e-6
 
 
-def _neighbours(groups: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    """Links of each line to the next two of its group, by its characters from the front and from the back."""
+def _neighbours(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """``n, m``: each line with the next two of its group, by its characters from the front and from the back."""
     lines = groups.select("key", "n").join(known.select("n", "line"), "n")
     orders = [Window.partitionBy("key").orderBy(by, "n") for by in ("line", F.reverse("line"))]
     beside = lines.select("n", F.array(*(F.lead("n", k).over(w) for w in orders for k in (1, 2))).alias("next"))
     beside = beside.select("n", F.explode("next").alias("m")).where("m IS NOT NULL")
-    return _compared(beside.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m")).distinct(), known, similar)
+    return beside.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m")).distinct()
 
 
 def _rare(lines: DataFrame, similar: float) -> DataFrame:
@@ -169,48 +185,73 @@ def _rare(lines: DataFrame, similar: float) -> DataFrame:
     return some.select("n", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("x.key", "n")
 
 
-def _all_joined(groups: DataFrame, known: DataFrame, links: DataFrame, similar: float) -> DataFrame:
-    """``n, component`` of all links among each key's lines, from those found so far."""
-
-    def joined(links):
-        out, _ = _shared.written(_shared.components(links, "lines").withColumnRenamed("node", "n"), "line-components")
-        return out
-
-    now = joined(links)
-    apart, _ = _shared.written(_apart(groups, now).where("lines > 2"), "groups-apart")
-    if apart.isEmpty():
-        return now
-    bitmaps, _ = _shared.written(_bitmaps(known.join(apart.select("n").distinct(), "n")), "line-bitmaps")
-    found = _across(apart.where(F.col("lines") <= SMALL_GROUP), bitmaps, known, similar)
+def _merged(now: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``n, component`` after links between lines of the components found so far, which stand for them in what is left to join."""
+    found = _shared.components(links, "lines")
+    if now is None:
+        return _shared.written(found.withColumnRenamed("node", "n"), "line-components")[0]
+    return _shared.written(now.join(found.withColumnRenamed("component", "into"), F.col("component") == F.col("node"), "left").select("n", F.coalesce("into", "component").alias("component")), "line-components")[0]
+
+
+def _all_joined(groups: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """``n, component`` of all links among the lines of each key (columns key, n, low, lines)."""
+    sigs = known.select("n", "sig")
+    first = groups.where("n > low").select("n", F.col("low").alias("m")).distinct()
+    both = first.join(sigs, "n").join(sigs.select(F.col("n").alias("m"), F.col("sig").alias("other")), "m")
+    near, _ = _shared.written(both.where(_share_enough(F.col("sig"), F.col("other"))).select("n", "m"), "line-pairs")
+    linked = _merged(None, _linked(near, known, similar))
+    now, _ = _shared.written(known.select("n").join(linked, "n", "left").select("n", F.coalesce("component", "n").alias("component")), "line-components")
+
+    def between(links: DataFrame) -> DataFrame:
+        """Links of lines as links of their components."""
+        ends = links
+        for end in ("u", "v"):
+            ends = ends.join(now.select(F.col("n").alias(end), F.col("component").alias(f"c{end}")), end)
+        return ends.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+
+    apart, _ = _shared.written(_apart(groups.where("lines > 2"), now), "groups-apart")
+    small = apart.where(F.col("lines") <= SMALL_GROUP).join(sigs, "n").select("key", "n", "component", "sig")
+    links = _linked(_pairs(small, _share_enough(F.col("sig"), F.col("sig_"))), known, similar)
     large = apart.where(F.col("lines") > SMALL_GROUP)
     some_large = not large.isEmpty()
     if some_large:
-        found = found.unionByName(_neighbours(large, known, similar))
-    now = joined(now.select(F.col("n").alias("u"), F.col("component").alias("v")).unionByName(found))
+        links = links.unionByName(_linked(_neighbours(large, known), known, similar))
+    now = _merged(now, between(links))
     if not some_large:
         return now
-    left = _apart(large.select("key", "n"), now).select("n").distinct()
-    rare, _ = _shared.written(_rare(known.join(left, "n"), similar), "rare-shingles")
-    found = _across(_apart(rare, now), bitmaps, known, similar)
-    return joined(now.select(F.col("n").alias("u"), F.col("component").alias("v")).unionByName(found))
+    left = known.join(_apart(large, now).select("n").distinct(), "n")
+    left, _ = _shared.written(left.select("n", "line"), "lines-apart")
+    rare, _ = _shared.written(_rare(left, similar), "rare-shingles")
+    sized = _apart(rare, now).select("key", "n", "component").join(_bitmaps(left), "n")
+    return _merged(now, between(_linked(_pairs(sized, _differ_little(similar)), known, similar)))
 
 
-def _matched(docs: DataFrame, **options) -> DataFrame:
-    dropped = dropped_lines(docs, **options).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "dropped")
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return rows.join(dropped, rows["doc_id"].cast("bigint").eqNullSafe(F.col("d")) & (F.col("_row") == F.col("r")), "left").drop("d", "r", "_row")
+def _matched(docs: DataFrame, dropped: str, **options) -> DataFrame:
+    """``docs`` with the numbers of the lines that go in column ``dropped``."""
+    row, d, r = (_shared.unused(docs, c) for c in ("row_of", "doc_id_of", "row_gone"))
+    gone = dropped_lines(docs, **options).select(F.col("doc_id").alias(d), F.col("row").alias(r), F.col("dropped").alias(dropped))
+    rows = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return rows.join(gone, rows["doc_id"].cast("bigint").eqNullSafe(F.col(d)) & (F.col(row) == F.col(r)), "left").drop(row, d, r)
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``text`` rid of dropped lines; other columns stay as they are. Null texts stay null."""
+    """``docs`` with ``text`` rid of dropped lines; other columns stay as they are, whatever their names. Null texts stay null.
+
+    Of rows that repeat doc_id and text all stay, and lose the same lines. An empty table stays empty.
+    """
     columns = docs.columns
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    out = _matched(docs, **options)
-    return out.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)).select(*columns)
+    dropped = _shared.unused(docs, "dropped")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(dropped), i)), "\n")
+    out = _matched(docs, dropped, **options)
+    return out.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept)).select(*columns)
 
 
 def op5_line_dedup(spark, sf_dir):
-    """doc_id, n_lines, n_dropped and the numbers of dropped lines of every document."""
+    """doc_id, n_lines, n_dropped and the numbers of dropped lines of every document.
+
+    Null texts count as empty: one line, which stays. Rows that repeat doc_id and text are one document that is listed
+    as often; null doc_ids come first; an empty table gives no row.
+    """
     docs = _shared.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = _keyed(docs).select("doc_id", "row", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
     dropped = dropped_lines(docs).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "dropped")
