@@ -7,14 +7,19 @@ radius plus threshold, 1 + 1 bits, so both of a close pair meet at the home of e
 came to the anchor; a group's links leave it as a spanning forest, never as all pairs, and a distributed union-find
 joins the forests.
 
-Up to ``WIDE_FROM`` distinct fingerprints, parts are three ranges of 21 or 22 bits and a Hamming code of length 15: 44
-copies a fingerprint, 2^17 anchors a part. Beyond, groups would grow too large: parts are then unions of three of six
-ranges (of seven for five bits) and have 2^23 anchors or more, at the price of more copies.
+The parts' width, and with it the number of anchors, follows the number of fingerprints, so that groups stay about as
+large whatever the input: three ranges of 21 or 22 bits and a Hamming code of length 15 (44 copies a fingerprint, 2^17
+anchors a part), then unions of ranges of 32 and of 40 bits. Every width finds the same links.
+
+``one_of_each`` decides by the similarity of texts, not of fingerprints. Its fingerprints are longer, over pairs of
+words, and cut into as many parts as let a pair at the least similarity meet nine times in ten, one more alike for all
+but certain. What meets is compared by other words of the fingerprint, and exactly by the sets of shingles after that.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, product
+import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _shared
+from weftline.llm._worker import worker_memory
 
 MOST_BITS = 4
-WIDE_FROM = 50_000_000
+#: Fingerprints up to which the narrowest parts serve; each wider kind serves 512 times as many.
+WIDE_FROM = 4_000_000
+WIDEST = 2
 PAIRS_AT_ONCE = 2_000_000
 
 
@@ -60,20 +68,30 @@ def _ranges(n: int) -> Part:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def parts_of(most: int, wide: bool = False) -> list[Part]:
+def _spreads(most: int, n: int):
+    """All ways to spread ``most`` differences over ``n`` ranges."""
+    if n == 1:
+        yield (most,)
+        return
+    for k in range(most + 1):
+        for rest in _spreads(most - k, n - 1):
+            yield (k, *rest)
+
+
+def parts_of(most: int, wide: int = 0) -> list[Part]:
     """Parts as lists of (lowest bit, width) such that ``most`` differences leave one of them with one at most.
 
-    Wide parts are chosen greedily among the unions of three of six or seven ranges until every way to spread the differences
-    over the ranges is covered.
+    Wide parts are unions of all but ``most`` - 1 (or a few more) of the ranges, chosen greedily until every way to spread
+    the differences over the ranges is covered. ``wide`` is 0, 1 or 2.
     """
     if not 0 <= most <= 7 or wide and most > 5:
         raise ValueError("the threshold must be from 0 to 7 bits, to 5 with wide parts")
     if not wide:
         return [[r] for r in _ranges(max(3, most // 2 + 1))]
-    n = max(6, most + 2)
+    n, some = (max(6, most + 2), 3) if wide == 1 else (max(8, most + 4), 5)
     ranges = _ranges(n)
-    left = {x for x in product(range(most + 1), repeat=n) if sum(x) == most}
-    unions = list(combinations(range(n), 3))
+    left = set(_spreads(most, n))
+    unions = list(combinations(range(n), some))
     chosen = []
     while left:
         best = max(unions, key=lambda u: sum(sum(x[i] for i in u) <= 1 for x in left))
@@ -82,6 +100,14 @@ def parts_of(most: int, wide: bool = False) -> list[Part]:
     return chosen
 
 
+def width_for(n: int, most: int) -> int:
+    """How wide parts must be for ``n`` fingerprints."""
+    wide = 0
+    while wide < WIDEST and most <= 5 and n > WIDE_FROM << 9 * wide:
+        wide += 1
+    return wide
+
+
 def part_value(fps: np.ndarray, part: Part) -> tuple[np.ndarray, int]:
     """The part's bits side by side, and how many they are."""
     bits, out, at = fps.view(np.uint64), np.zeros(len(fps), np.int64), 0
@@ -134,7 +160,7 @@ def moves(bits: int) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in near]
 
 
-def anchor_rows(fps: np.ndarray, most: int = MOST_BITS, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_rows(fps: np.ndarray, most: int = MOST_BITS, wide: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor, fingerprint, home (1 or 0) of every copy that is sent out."""
     anchors, copies, home = [], [], []
     for number, part in enumerate(parts_of(most, wide)):
@@ -144,7 +170,7 @@ def anchor_rows(fps: np.ndarray, most: int = MOST_BITS, wide: bool = False) -> t
             own = found == s
             if own.any():
                 at = value[own][:, None] ^ flips[None, :]
-                anchors.append((at | number << 40).ravel())
+                anchors.append((at | number << 48).ravel())
                 copies.append(np.repeat(fps[own], len(flips)))
                 is_home = np.zeros(at.shape, np.int8)
                 is_home[:, 0] = 1
@@ -176,21 +202,21 @@ class Stars:
             self.up.setdefault(min(a, b), min(a, b))
             self.links.append((x, y))
 
-    def near(self, x: int, y: int) -> None:
-        """A link that is kept in any case."""
-        self.link(x, y)
-        self.links.append((x, y))
+
+def _bounds(anchor: np.ndarray) -> np.ndarray:
+    """Where each run of equal anchors begins, and the end."""
+    return np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True]))) if len(anchor) else np.zeros(1, np.int64)
 
 
-def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Stars, most: int = MOST_BITS, nearest: int = 0) -> None:
+def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Stars, most: int = MOST_BITS) -> None:
     """Links fingerprints at most ``most`` bits apart that meet at an anchor, one of them at home there.
 
-    Groups are taken in blocks of at most ``PAIRS_AT_ONCE`` comparisons; of one home's links only those that join
-    what was apart are kept and, where asked for, those to its ``nearest``.
+    Groups are taken in blocks of at most ``PAIRS_AT_ONCE`` comparisons; of the links only those that join what was apart
+    are kept. In a large group a home is compared with what isn't joined to it yet, until all of it is one.
     """
     order = np.lexsort((-home, anchor))
     anchor, fp, home = anchor[order], fp[order], home[order]
-    bounds = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True]))) if len(anchor) else np.zeros(1, np.int64)
+    bounds = _bounds(anchor)
     first, size = bounds[:-1], np.diff(bounds)
     homes = np.add.reduceat(home.astype(np.int64), first) if len(first) else size
     keep = (homes > 0) & (size > 1)
@@ -204,15 +230,7 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Sta
         nth = np.arange(len(who)) - np.repeat(np.cumsum(h[at:upto]) - h[at:upto], h[at:upto])
         left = np.repeat(f[who] + nth, n[who])
         right = np.repeat(f[who], n[who]) + np.arange(len(left)) - np.repeat(np.cumsum(n[who]) - n[who], n[who])
-        apart = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64))
-        hit = (left != right) & (apart <= most)
-        if nearest and hit.any():
-            by = np.lexsort((right[hit], apart[hit], left[hit]))
-            one, other = left[hit][by], right[hit][by]
-            heads = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1])))
-            best = np.arange(len(one)) - np.repeat(heads, np.diff(np.append(heads, len(one)))) < nearest
-            for a, b in zip(fp[one[best]].tolist(), fp[other[best]].tolist(), strict=True):
-                stars.near(a, b)
+        hit = (left != right) & (np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= most)
         for a, b in zip(fp[left[hit]].tolist(), fp[right[hit]].tolist(), strict=True):
             stars.link(a, b)
         at = upto
@@ -220,25 +238,21 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, stars: Sta
         own = fp[f : f + n]
         label = np.arange(n)
         for i in range(h):
-            bits = np.bitwise_count((own ^ own[i]).view(np.uint64))
-            near = np.flatnonzero(bits <= most)
-            for j in near[np.argsort(bits[near], kind="stable")[1 : nearest + 1]].tolist():
-                stars.near(int(own[i]), int(own[j]))
-            roots = label[near]
-            if (roots != roots[0]).any():
-                apart, where = np.unique(roots, return_index=True)
+            others = np.flatnonzero(label != label[i])
+            if not len(others):
+                break
+            near = others[np.bitwise_count((own[others] ^ own[i]).view(np.uint64)) <= most]
+            if len(near):
+                apart, where = np.unique(label[near], return_index=True)
                 for j in near[where].tolist():
                     stars.link(int(own[i]), int(own[j]))
-                label[np.isin(label, apart)] = apart[0]
+                label[np.isin(label, apart)] = label[i]
 
 
-def links(fps: DataFrame, most: int = MOST_BITS, wide: bool | None = None, nearest: int = 0) -> DataFrame:
-    """``u, v``: spanning links among the distinct fingerprints (column ``fp``) at most ``most`` bits apart.
-
-    With ``nearest``, each fingerprint's links to so many of the nearest at its homes too.
-    """
+def links(fps: DataFrame, most: int = MOST_BITS, wide: int | None = None) -> DataFrame:
+    """``u, v``: spanning links among the distinct fingerprints (column ``fp``) at most ``most`` bits apart."""
     if wide is None:
-        wide = most <= 5 and fps.count() > WIDE_FROM
+        wide = width_for(fps.count(), most)
 
     def spread(batches):
         for b in batches:
@@ -247,90 +261,352 @@ def links(fps: DataFrame, most: int = MOST_BITS, wide: bool | None = None, neare
                 yield pa.RecordBatch.from_arrays([pa.array(anchors[i : i + 65536]), pa.array(copies[i : i + 65536]), pa.array(home[i : i + 65536])], ["anchor", "fp", "home"])
 
     def compare(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if held:
+        for anchor, fp, home in _whole_groups(batches, 1 << 20):
             stars = Stars()
-            link_groups(*(np.concatenate(x) for x in zip(*held, strict=True)), stars, most, nearest)
+            link_groups(anchor, fp, home, stars, most)
             edges = list(set(stars.links))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     copies = fps.select("fp").mapInArrow(spread, "anchor bigint, fp bigint, home tinyint")
-    return copies.repartition("anchor").mapInArrow(compare, "u bigint, v bigint")
+    return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u bigint, v bigint")
 
 
-def _classes(docs: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame]:
+def _whole_groups(batches, rows: int, shift: int = 0, split: bool = False):
+    """The columns of sorted batches in blocks of about ``rows`` rows that end with a group of the first one (shifted right).
+
+    A group of more rows is one block, or, with ``split``, several: memory stays bounded then.
+    """
+    held: list[list[np.ndarray]] = []
+    n = 0
+
+    def joined():
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            n += b.num_rows
+            if n >= rows:
+                whole = joined()
+                key = whole[0] >> shift
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut or split:
+                    cut = cut or n
+                    yield [x[:cut] for x in whole]
+                held, n = [[x[cut:] for x in whole]], n - cut
+    if n:
+        yield joined()
+
+
+def _classes(docs: DataFrame, width: int, most: int, wide: int | None) -> tuple[DataFrame, DataFrame]:
     """Fingerprints per row, and each distinct fingerprint with its ``least`` doc_id and its ``component``."""
     prints, _ = _shared.written(fingerprints(docs, width), "fingerprints")
     classes, _ = _shared.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = _shared.components(links(classes, most), "simhash")
+    found = _shared.components(links(classes, most, wide), "simhash")
     return prints, classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS, wide: int | None = None) -> DataFrame:
     """``doc_id, fp, component_id``: one row per input row; fingerprints at most ``most`` (up to 7) bits apart are linked.
 
     ``component_id`` is the smallest doc_id that can be reached over links, the row's own included. Rows with equal
     fingerprints (exact copies, texts without words) are one class from the start, so copies never meet pair by pair.
     Rows with a null doc_id keep their fingerprint and reach others, but are nobody's smallest. An empty table gives
-    an empty result; columns other than doc_id and text are ignored.
+    an empty result; columns other than doc_id and text are ignored. ``wide`` sets the parts' width, which otherwise
+    follows the number of fingerprints; the result is the same.
     """
-    prints, named = _classes(docs, width, most)
+    prints, named = _classes(docs, width, most, wide)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named, _ = _shared.written(named.join(least, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _alike(pairs: DataFrame, width: int, similar: float) -> DataFrame:
-    """The pairs (u, v, text, other) whose sets of shingles have a Jaccard similarity of ``similar`` or more, as u, v."""
+# Near-duplicates by similarity of texts.
+
+CODED = 15
+#: Bits among the two words of a fingerprint that are compared; 0.8 similar texts differ in 19 on the average, 4 deviations below.
+MOST_OF_128 = 33
+#: A group of more rows is compared in blocks of this size and settled by rare shingles.
+GROUP_ROWS = 1 << 15
+#: Pairs per row of a group beyond which rare shingles settle it.
+PAIRS_PER_ROW = 32
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
+class Words(dict):
+    """64-bit hashes of words, kept for the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+    def of(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
+        words = (text or "").encode().lower().split()
+        return words, np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def word_runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The distinct hashes of all runs of ``width`` words, sorted; of the whole sequence where words are fewer."""
+    k = min(width, len(hashes))
+    if not k:
+        return hashes
+    n = len(hashes) - k + 1
+    x = np.full(n, k, np.uint64)
+    for i in range(k):
+        x = mixed(x * np.uint64(MIX[0]) + hashes[i : i + n])
+    return np.unique(x)
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` words of 64 bits, each set where over half of the hashes, mixed anew for each word, have it set."""
+    counts = np.zeros(64 * words, np.int64)
+    step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(MIX[0])
+    for at in range(0, len(hashes), 2048):
+        block = mixed(hashes[at : at + 2048, None] + step[None, :]).astype("<u8").view(np.uint8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
+
+
+class Plan:
+    """Parts for ``n`` texts, of ``CODED`` bits under the Hamming code and ``exact`` bits more.
+
+    Texts of similarity ``similar`` (equally long, changed at one stretch) share cos = 2s / (1 + s) of their pairs of words,
+    so each bit differs with probability arccos(cos) / pi; scattered changes touch fewer pairs of words than shingles and
+    are met more often. The exact bits keep the comparisons of a text at an anchor within some thousands.
+    """
+
+    def __init__(self, n: int, similar: float, met: float = 0.9):
+        self.exact = max(6, math.ceil(math.log2(max(n, 2))) - 20)
+        p = math.acos(min(1.0, 2 * similar / (1 + similar))) / math.pi
+        hit = (1 - p) ** self.exact * ((1 - p) ** CODED + CODED * p * (1 - p) ** (CODED - 1))
+        self.parts = max(1, round(math.log(1 - met) / math.log1p(-hit))) if hit < met else 1
+        self.width = CODED + self.exact
+        self.per_word = 64 // self.width
+        self.words = max(3, -(-self.parts // self.per_word))
+
+    def spread(self, prints: np.ndarray):
+        """Anchor (twice, plus 1 for what isn't at home), number of the row and the two words that are compared, part by part."""
+        flips = _CODE_MOVES
+        for number in range(self.parts):
+            word, nth = divmod(number, self.per_word)
+            value = ((prints[:, word].view(np.uint64) >> np.uint64(nth * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+            found = syndromes(value, CODED)
+            one, two = prints[:, (word + 1) % self.words], prints[:, (word + 2) % self.words]
+            for some, moves_ in ((found == 0, flips[:1]), (found > 0, flips[1:])):
+                rows = np.flatnonzero(some)
+                if len(rows):
+                    table = np.stack(moves_)[np.maximum(found[rows] - 1, 0)]
+                    at = ((value[rows][:, None] ^ table) | number << 48) << 1 | 1
+                    at[:, 0] ^= 1
+                    again = np.repeat(rows, at.shape[1])
+                    yield at.ravel(), again, one[again], two[again]
+
+
+_CODE_MOVES = moves(CODED)
+
+
+def _met(texts: DataFrame, plan: Plan, apart: bool) -> DataFrame:
+    """``n, m, bits``: candidates among ``texts`` (n, component, w0, w1, ...).
+
+    Of each text the nearest and the first that it meets; or, with ``apart``, all that it meets of another component.
+    Groups in which these are too many to name give rows of their members with a null ``m`` in place of pairs.
+    """
+    columns = [f"w{k}" for k in range(plan.words)]
+
+    def spread(batches):
+        for b in batches:
+            if b.num_rows:
+                n, component, *words = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                for anchor, rows, one, two in plan.spread(np.stack(words, 1)):
+                    for i in range(0, len(anchor), 65536):
+                        own = rows[i : i + 65536]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[i : i + 65536], n[own], component[own], one[i : i + 65536], two[i : i + 65536])], ["anchor", "n", "component", "one", "two"])
+
+    def compare(batches):
+        split = -1  # the anchor whose group fills a block of its own and may go on in the next
+        for anchor, n, component, one, two in _whole_groups(batches, 4 * GROUP_ROWS, 1, split=True):
+            crowded = split
+            split = int(anchor[0] >> 1) if anchor[0] >> 1 == anchor[-1] >> 1 else -1
+            for found in _compared(anchor, n, component, one, two, apart, crowded):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.int64(), mask=found[1] < 0), pa.array(found[2].astype(np.int32))], ["n", "m", "bits"])
+
+    copies = texts.select("n", "component", *columns).mapInArrow(spread, "anchor bigint, n bigint, component bigint, one bigint, two bigint")
+    return copies.repartition(F.shiftright("anchor", 1)).sortWithinPartitions("anchor").mapInArrow(compare, "n bigint, m bigint, bits int")
+
+
+def _compared(anchor: np.ndarray, n: np.ndarray, component: np.ndarray, one: np.ndarray, two: np.ndarray, apart: bool, crowded: int = -1):
+    """Candidates (n, m, bits) of groups; m is -1 for the members of groups that rare shingles must settle.
+
+    Such are, with ``apart``, those that don't fit a block, the last part of which is the group of anchor ``crowded``.
+    """
+    bounds = _bounds(anchor >> 1)
+    first, size = bounds[:-1], np.diff(bounds)
+    lowest, highest = (f.reduceat(component, first) for f in (np.minimum, np.maximum))
+    open_ = lowest < highest
+    if apart:
+        large = (size > GROUP_ROWS) & open_ | (anchor[first] >> 1 == crowded) | (size >= 4 * GROUP_ROWS)
+        for f, s in zip(first[large].tolist(), size[large].tolist(), strict=True):
+            yield n[f : f + s], np.full(s, -1), np.zeros(s)
+        open_ &= ~large
+    group = np.repeat(np.arange(len(first)), size)
+    # Homes come first in a group; larger ones than GROUP_ROWS are taken block by block.
+    unit = np.flatnonzero((anchor & 1 == 0) & open_[group])
+    start = first[group[unit]] + (unit - first[group[unit]]) // GROUP_ROWS * GROUP_ROWS
+    width = np.minimum(bounds[group[unit] + 1], start + GROUP_ROWS) - start
+    settled = np.zeros(len(first), bool)
+    pairs = np.zeros(len(first), np.int64)
+    total = np.cumsum(width)
+    at = 0
+    while at < len(unit):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        some = slice(at, upto)
+        at = upto
+        left = np.repeat(unit[some], width[some])
+        right = np.repeat(start[some], width[some]) + np.arange(len(left)) - np.repeat(total[some] - width[some] - (total[some.start] - width[some.start]), width[some])
+        keep = np.flatnonzero(component[left] != component[right])
+        left, right = left[keep], right[keep]
+        bits = np.bitwise_count((one[left] ^ one[right]).view(np.uint64)).astype(np.int64) + np.bitwise_count((two[left] ^ two[right]).view(np.uint64))
+        hit = np.flatnonzero(bits <= MOST_OF_128)
+        if not len(hit):
+            continue
+        left, right, bits = left[hit], right[hit], bits[hit]
+        if apart:
+            pairs += np.bincount(group[left], minlength=len(first))
+            full = (pairs > PAIRS_PER_ROW * size) & ~settled
+            for g in np.flatnonzero(full).tolist():
+                yield n[first[g] : bounds[g + 1]], np.full(size[g], -1), np.zeros(size[g])
+            settled |= full
+            go = ~settled[group[left]]
+            yield n[left[go]], n[right[go]], bits[go]
+        else:
+            for by in (np.lexsort((n[right], bits, left)), np.lexsort((n[right], left))):
+                heads = by[_bounds(left[by])[:-1]]
+                yield n[left[heads]], n[right[heads]], bits[heads]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have a Jaccard similarity of ``similar`` or more."""
 
     def run(batches):
         for b in batches:
+            (a, x), (c, y) = ((col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)) for col in (b.column(2), b.column(3)))
             keep = []
-            for text, other in zip(b.column(2), b.column(3), strict=True):
-                one, two = (np.unique(shingle_hashes(t.as_py(), width)) for t in (text, other))
-                common = len(np.intersect1d(one, two, assume_unique=True))
+            for k in range(b.num_rows):
+                one, two = x[a[k] : a[k + 1]], y[c[k] : c[k + 1]]
+                common = len(np.intersect1d(one, two, assume_unique=True)) if min(len(one), len(two)) >= similar * max(len(one), len(two)) else 0
                 keep.append(common >= similar * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("u", "v", "text", "other").mapInArrow(run, "u bigint, v bigint")
+    both = pairs.join(sets.select(F.col("n").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("set").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def _rare_meetings(sets: DataFrame, similar: float) -> DataFrame:
+    """``u, v``: pairs of different components that share one of their rarest shingles, of which two texts alike share one for certain."""
+    each = sets.select("n", "component", F.size("set").alias("size"), F.explode("set").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    some = each.join(often, "key").groupBy("n", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+    first = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-6) + 1
+    # Shingles of one text alone are the rarest of all and meet nothing.
+    left = F.greatest(F.lit(0), first - (F.col("size") - F.size("shared"))).cast("int")
+    rare = some.select("n", "component", "size", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("x.key", "n", "component", "size")
+    other = rare.select("key", *(F.col(c).alias(f"{c}_") for c in ("n", "component", "size")))
+    near = (F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_")) & (F.least("size", "size_") >= F.lit(similar) * F.greatest("size", "size_"))
+    return rare.join(other, "key").where(near).select(F.col("n").alias("u"), F.col("n_").alias("v")).distinct()
+
 
+def _long_prints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, row, 128 bits that tell the sequence of words, and the long fingerprint over distinct pairs of words."""
+    names = [f"w{k}" for k in range(words)]
 
-def one_of_each(docs: DataFrame, width: int = 5, similar: float = 0.8, most: int = 5) -> DataFrame:
+    def run(batches):
+        memory = worker_memory().setdefault("words", Words())
+        for b in batches:
+            t1, t2, prints = [], [], []
+            for text in b.column(1):
+                own, hashes = memory.of(text.as_py())
+                whole = xxhash.xxh3_128_digest(b" ".join(own))
+                t1.append(int.from_bytes(whole[:8], "little", signed=True))
+                t2.append(int.from_bytes(whole[8:], "little", signed=True))
+                prints.append(long_fingerprint(word_runs(hashes, 2), words))
+            table = np.stack(prints) if prints else np.zeros((0, words), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, k]), pa.int64()) for k in range(words))], ["doc_id", "row", "t1", "t2", *names])
+
+    return _rows(docs).mapInArrow(run, "doc_id bigint, row bigint, t1 bigint, t2 bigint, " + ", ".join(f"{w} bigint" for w in names))
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """n and the sorted hashes of the distinct shingles of each text (n, text)."""
+
+    def run(batches):
+        memory = worker_memory().setdefault("words", Words())
+        for b in batches:
+            sets = [word_runs(memory.of(t.as_py())[1], width).view(np.int64) for t in b.column(1)]
+            cuts = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["n", "set"])
+
+    return texts.select("n", "text").mapInArrow(run, "n bigint, set array<bigint>")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, nulls first.
 
-    Candidates are texts whose fingerprints over distinct words are at most ``most`` bits apart: a word that changes
-    moves such a fingerprint far less than one over five-word shingles, of which it changes five. Each is compared with
-    the eight nearest at each of its homes, whoever they are homes of, and along a spanning forest of all that are near.
-    Candidates count as near-duplicates if their sets of ``width``-word shingles have a Jaccard similarity of ``similar`` or more. Equal
-    fingerprints are compared with the first and the last of their texts. Texts without words are one group. Rows that
-    repeat doc_id and text are one. All columns stay as they are.
+    Texts are linked where their sets of ``width``-word shingles (A-Z lower-cased) have a Jaccard similarity of ``similar``
+    or more; texts of the same words are one from the start, so are those without words. Candidates are texts whose
+    fingerprints over distinct pairs of words meet at an anchor (see :class:`Plan`) and differ in few enough of 128
+    other bits. First each is compared with the nearest and with the first that it meets, whose links settle most
+    families; then all that meet and are still in different components are compared. Where these are too many to name
+    them, as in large families of texts hardly less alike than that, the members' rarest shingles name those that can
+    be alike. Rows that repeat doc_id and text are one. All columns stay as they are, an empty table stays empty.
     """
-    prints, _ = _shared.written(fingerprints(docs, 1, repeats=False), "fingerprints")
-    hashed = _rows(docs).select("doc_id", "row", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("again"), "text").alias("t2")).distinct()
-    copies = prints.distinct().join(hashed, (prints["row"] == hashed["row"]) & prints["doc_id"].eqNullSafe(hashed["doc_id"])).select(prints["doc_id"], prints["row"], "fp", "t1", "t2")
-    texts = copies.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fp").alias("fp"))
-    texts, _ = _shared.written(texts.select(F.monotonically_increasing_id().alias("n"), "first", "fp"), "texts")
-
-    ends = texts.groupBy("fp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    ends, _ = _shared.written(ends, "ends")
-    within = texts.join(ends.where("low < high").hint("shuffle_hash"), "fp").select("n", F.explode(F.array("low", "high")).alias("m")).where("n != m")
-    across = links(ends, most, nearest=8).join(ends.select(F.col("fp").alias("u"), F.col("low").alias("n")), "u").join(ends.select(F.col("fp").alias("v"), F.col("low").alias("m")), "v").select("n", "m")
-    pairs = within.unionByName(across).select(F.greatest("n", "m").alias("u"), F.least("n", "m").alias("v")).distinct()
+    plan = Plan(docs.count(), similar)
+    columns = [f"w{k}" for k in range(plan.words)]
+    prints, _ = _shared.written(_long_prints(docs, plan.words), "fingerprints")
+    texts = prints.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "row")).alias("first"), *(F.min(c).alias(c) for c in columns))
+    texts, _ = _shared.written(texts.select(F.monotonically_increasing_id().alias("n"), "first", *columns), "texts")
+
+    met = _met(texts.withColumn("component", F.col("n")), plan, apart=False).groupBy("n").agg(F.min(F.struct("bits", "m")).alias("near"), F.min("m").alias("low"))
+    pairs = met.select("n", F.explode(F.array("near.m", "low")).alias("m")).select(F.greatest("n", "m").alias("u"), F.least("n", "m").alias("v")).distinct()
     pairs, _ = _shared.written(pairs, "pairs")
 
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
-    first = [F.coalesce("first.doc_id", F.lit(-1)).alias("_key"), F.col("first.row").alias("_row")]
+    key, row = _shared.unused(docs, "key"), _shared.unused(docs, "row")
+    rows = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
+    first = [F.coalesce("first.doc_id", F.lit(-1)).alias(key), F.col("first.row").alias(row)]
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().join(texts, "n").select("n", *first)
-    held = rows.select("_key", "_row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted.hint("shuffle_hash"), ["_key", "_row"])
-    held, _ = _shared.written(held.select("n", "text").dropDuplicates(["n"]), "held")
-    both = pairs.join(held.select(F.col("n").alias("u"), "text"), "u").join(held.select(F.col("n").alias("v"), F.col("text").alias("other")), "v")
-    found = _shared.components(_alike(both, width, similar), "near-texts")
-
-    named = texts.join(found.withColumnRenamed("node", "n"), "n", "left").withColumn("component", F.when(F.col("fp") == 0, F.lit(-1)).otherwise(F.coalesce("component", "n")))
-    stays, _ = _shared.written(named.groupBy("component").agg(F.min("first").alias("first")).select(*first), "first")
-    return rows.join(stays, ["_key", "_row"], "left_semi").dropDuplicates(["_key", "_row"]).drop("_key", "_row")
+    held = rows.select(key, row, F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), [key, row]).dropDuplicates([key, row])
+    sets, _ = _shared.written(_shingle_sets(held, width), "shingle-sets")
+
+    found, _ = _shared.written(_shared.components(_alike(pairs, sets, similar), "near-texts").withColumnRenamed("node", "n"), "near-components")
+    some = texts.join(sets.select("n"), "n").join(found, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    some, _ = _shared.written(some.select("n", "component", *columns), "met")
+    more, _ = _shared.written(_met(some, plan, apart=True).select("n", "m").distinct(), "pairs")
+    left = more.where("m IS NOT NULL").select(F.greatest("n", "m").alias("u"), F.least("n", "m").alias("v")).distinct()
+    crowded = more.where("m IS NULL").select("n")
+    if not crowded.isEmpty():
+        left = left.unionByName(_rare_meetings(sets.join(crowded, "n").join(some.select("n", "component"), "n"), similar)).distinct()
+    label = some.select("n", "component")
+    new = _alike(left, sets, similar).join(label.withColumnRenamed("n", "u").withColumnRenamed("component", "cu"), "u").join(label.withColumnRenamed("n", "v").withColumnRenamed("component", "cv"), "v")
+    merged = _shared.components(new.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "near-texts")
+    named = texts.select("n", "first").join(label, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    named = named.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    stays = named.groupBy(F.coalesce("into", "component").alias("component")).agg(F.min("first").alias("first")).select(*first)
+    stays, _ = _shared.written(stays, "first")
+    return rows.join(stays, [key, row], "left_semi").dropDuplicates([key, row]).drop(key, row)
 
 
 def op7_simhash_near_duplicates(spark, sf_dir):
+    """doc_id, fingerprint and component_id of every document.
+
+    Null and empty texts have fingerprint zero and are linked like any other; repeated rows are rows of one class; null
+    doc_ids reach others but are nobody's component_id; an empty table gives no row.
+    """
     found = near_duplicates(_shared.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
