@@ -1,10 +1,11 @@
 """Best-fit packing of tokenized documents into sequences, online and in bounded space.
 
-Pieces are dealt into groups of bounded size and arrive in each longest first. A group is packed online: a fixed number
-of bins is open, a bitset keyed by free space finds the fullest bin that a piece still fits, and where another bin must
-open, the fullest closes. At a group's end the bins that are all but full close as well; what is in the others is dealt
-anew into fewer groups, until one group is left, whose open bins close too. Only lengths travel; tokens stay with their
-documents.
+Pieces are dealt into groups of bounded size and arrive in each in the order of the input. A group is packed online: a
+fixed number of bins is open, far fewer than a group has pieces, a bitset keyed by free space finds the fullest bin that
+a piece still fits, and where another bin must open, the fullest closes. At a group's end the bins that are all but full
+close as well; what is in the others is dealt anew into fewer groups. Groups never grow: where dealing anew leaves
+nearly as much open as before, or one group is left, the open bins close as they are. Only lengths travel; tokens stay
+with their documents.
 """
 
 from __future__ import annotations
@@ -137,6 +138,8 @@ def best_fit(lengths: list[int], capacity: int, most_open: int, slack: int = 0)
     A piece goes to the open bin with the least free space that holds it, the longest open of equals; where none
     does, a new bin opens, and if ``most_open`` are open already, the fullest of them closes first.
     """
+    if lengths and max(lengths) > capacity:
+        raise ValueError(f"a piece of {max(lengths)} is longer than {capacity}")
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
     bits, n_open, made = 0, 0, 0
     bins, offsets = [0] * len(lengths), [0] * len(lengths)
@@ -168,47 +171,63 @@ def best_fit(lengths: list[int], capacity: int, most_open: int, slack: int = 0)
     return bins, offsets, sorted(x for own in by_free[slack + 1 :] for x in own)
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, most_open: int = 16384, group_rows: int = 16384, slack: int | None = None) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (columns doc_id, piece, length; other columns are kept).
+def pack(found: DataFrame, capacity: int = CAPACITY, most_open: int = 512, group_rows: int = 16384, slack: int | None = None) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces (columns doc_id, piece, length; other columns are kept, but for older ones of these two names).
 
-    Every piece gets a place, repeated rows one each. ``group_rows`` bounds the mean size of a group and with it a
-    task's memory; ``most_open`` the bins open at once. Bins with at most ``slack`` tokens free (a 128th of the
-    capacity where not given) are full enough at a group's end. Pieces as long as a sequence fill one by themselves.
+    Every piece gets a place, repeated rows one each; pieces of equal length are told apart by their order alone. Null
+    lengths count as 0, lengths beyond ``capacity`` raise. An empty table gives an empty result. ``group_rows`` is the
+    mean size of a group at every level and so bounds a task's memory; ``most_open`` the bins open at once. Pieces arrive
+    in the order of ``found``; with a bound that no group can reach (``most_open`` of ``group_rows`` or more) nothing is
+    lost by waiting, so they arrive longest first. Bins with at most ``slack`` tokens free (a 128th of the capacity where
+    not given) are full enough at a group's end. Pieces as long as a sequence fill one by themselves.
     """
     slack = capacity // 128 if slack is None else slack
-    rows, _ = _shared.written(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    placed_kind = "row bigint, length bigint, sequence_id bigint, offset bigint, open boolean"
-
-    def packed(groups: int, level: int):
-        def run(keys, group):
-            lengths = group.column("length").to_pylist()
-            bins, offsets, left = best_fit(lengths, capacity, most_open, slack)
-            last = set(left) if groups > 1 else set()
-            base = (level << 58) + (keys[0].as_py() << 28)
-            return pa.table({"row": group.column("row"), "length": group.column("length"), "sequence_id": pa.array([base + x for x in bins], pa.int64()), "offset": pa.array(offsets, pa.int64()), "open": pa.array([x in last for x in bins], pa.bool_())})
-
-        return run
-
-    todo, done, level = rows.select("row", F.col("length").cast("bigint").alias("length")), [], 0
+    row = _shared.unused(found, "row")
+    rows, _ = _shared.written(found.drop("sequence_id", "offset").withColumn(row, F.monotonically_increasing_id()), "pieces")
+    order = ["group", F.desc("length"), "row"] if most_open >= group_rows else ["group", "row"]
+    todo, done, level = rows.select(F.col(row).alias("row"), F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length")), [], 0
     count = todo.count()
     while True:
         groups = max(1, -(-count // group_rows))
         dealt = todo.withColumn("group", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
-        placed, _ = _shared.written(dealt.repartition("group").sortWithinPartitions("group", F.desc("length"), "row").groupBy("group").applyInArrow(packed(groups, level), placed_kind), "packed")
-        done.append(placed.where(~F.col("open")).select("row", "sequence_id", "offset"))
-        if groups == 1:
+        placed, _ = _shared.written(dealt.repartition("group").sortWithinPartitions(*order).groupBy("group").applyInArrow(_packed(level, capacity, most_open, slack), PLACED), "packed")
+        left = placed.where("open").select("row", "length")
+        before, count = count, left.count()
+        last = groups == 1 or count > SHRINKS * before
+        done.append((placed if last else placed.where(~F.col("open"))).select("row", "sequence_id", "offset"))
+        if last or not count:
             break
-        todo, level = placed.where("open").select("row", "length"), level + 1
-        before, count = count, todo.count()
-        if count > 0.7 * before:
-            count = min(count, group_rows)
+        todo, level = left, level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return rows.join(out, "row").drop("row")
+    return rows.join(out.withColumnRenamed("row", row), row).drop(row)
+
+
+#: Pieces are dealt anew only where at most this share of them was left in open bins.
+SHRINKS = 0.9
+PLACED = "row bigint, length bigint, sequence_id bigint, offset bigint, open boolean"
+
+
+def _packed(level: int, capacity: int, most_open: int, slack: int):
+    """Packs a group; its bins are numbered within the level and the group."""
+
+    def run(keys, group):
+        lengths = group.column("length").to_pylist()
+        bins, offsets, left = best_fit(lengths, capacity, most_open, slack)
+        open_bins = set(left)
+        base = (level << 54) + (keys[0].as_py() << 28)
+        return pa.table({"row": group.column("row"), "length": group.column("length"), "sequence_id": pa.array([base + x for x in bins], pa.int64()), "offset": pa.array(offsets, pa.int64()), "open": pa.array([x in open_bins for x in bins], pa.bool_())})
+
+    return run
 
 
 def op4_best_fit_packing(spark, sf_dir):
+    """All documents, tokenized and packed into sequences of at most 2048 tokens; a row per piece.
+
+    Null and empty texts are one piece of id 0; repeated rows and repeated doc_ids are packed one by one, null doc_ids
+    stay null; an empty table gives no row.
+    """
     import public_tokenizers
 
     return pack(pieces(_shared.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
