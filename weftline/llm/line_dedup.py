@@ -1,37 +1,39 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame operations alone.
 
-A line's signature is the least distinct hashes of its eight-character shingles: of those that start with one of a fixed
-set of characters (every character beyond ASCII is one), so that which shingles count depends on their own text alone,
-and of all shingles where these are few. Each three neighbours of the sorted signature are a band. Lines that share a
-band and enough of their signatures are compared by the Jaccard similarity of all their five-character shingles; links
-become components by a distributed union-find, and the first line of each component stays. Equal lines are one line
-from the start.
-
-A band's lines are first compared with the first of them. Where that leaves a group in several components, all pairs
-between components are compared: in a small group directly, in large ones where the rarest shingles meet, of which two
-lines alike share one for certain (prefix filter). So no pair that shares a band is left out.
+A line's shingles of eight characters are sampled: those that start with one of a few fixed characters, so that which
+count depends on their own text alone; where these are few, all count. The least distinct hashes are the signature, and
+each three neighbours of it, sorted, are a band. Lines that share a band and half of their sampled shingles, by Jaccard
+similarity, are compared by that of all their five-character shingles; links become components by a distributed
+union-find, and the first line of each component stays. Equal lines are one line from the start.
+
+A line is first compared with the first line that it shares a band with. Where that leaves a band's lines in several
+components, all pairs between components are compared: in a small group directly, in large ones where their rarest
+sampled shingles meet, of which lines that share half of them share one for certain (prefix filter). So no pair that
+shares a band is left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _shared
 
 SHINGLE = 5
-#: Eight characters, of which the first is one of few: those whose code is 4 modulo 8, and all beyond ASCII.
-SAMPLED = r"(?s)(?=([$,4<\\dlt|[^\x00-\x7f]].{7}))"
+#: What follows one of the characters whose code is 4 modulo 8. Scripts without them have all their shingles counted.
+SAMPLED = r"(?s)[$,4<\\dlt|](?=(.{7}))"
 EIGHT = r"(?s)(?=(.{8}))"
 EVERY = r"(?s)(?=(.{5}))"
 LEAST_CHARS = 20
 #: Lines with fewer sampled shingles are known by all of theirs, those with still fewer by these alone.
-FEW, FEWEST = 24, 16
+FEW, FEWEST = 18, 12
 BAND = 3
-#: Hashes that two signatures share at least; lines of 0.8 similarity share eleven of fourteen on the average, fewer than five once in 10^4.
-LEAST_SHARED = 5
+#: Hashes kept of a line that is compared.
+SKETCH = 96
+#: Lines that are 0.8 alike in shingles of five characters are 0.7 alike in those of eight; the sample's share varies by some hundredths.
+SKETCHES_ALIKE = 0.5
 #: Larger groups of a band are split by rare shingles.
-SMALL_GROUP = 256
+SMALL_GROUP = 64
 SIMILAR = 0.8
 
 
@@ -50,7 +52,7 @@ def least_hashes(strings: Column, size: int) -> Column:
 
 
 def signatures(lines: DataFrame, size: int) -> DataFrame:
-    """``lines`` with ``sig``, of the sampled shingles, and ``more``, of all where the sampled are few; else null."""
+    """``lines`` with ``sig``, of the sampled shingles, and ``more``, of all where the sampled are few; null otherwise."""
     found = lines.withColumn("some", F.regexp_extract_all("line", F.lit(SAMPLED), F.lit(1)))
     every = F.regexp_extract_all("line", F.lit(EIGHT), F.lit(1))
     return found.select(*lines.columns, F.when(F.size("some") >= FEWEST, least_hashes(F.col("some"), size)).alias("sig"), F.when(F.size("some") < FEW, least_hashes(every, size)).alias("more"))
@@ -82,7 +84,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int = LEAST_CHARS, size: int = 14) -> DataFrame:
+def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int = LEAST_CHARS, size: int = 12) -> DataFrame:
     """``doc_id, row, dropped``: the numbers (from 0) of each document's lines that go; documents that lose none aren't listed.
 
     Lines are what ``\\n`` separates, compared without the white space around them and without case. Lines of fewer
@@ -104,10 +106,12 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int =
     ends = keys.groupBy("key").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
     groups, _ = _shared.written(keys.join(ends.hint("shuffle_hash"), "key"), "line-groups")
 
-    wanted = groups.select("n").distinct().join(unique.select("n", "at", F.concat(_given("sig"), _given("more")).alias("sig")), "n")
-    places = wanted.groupBy(F.col("at.doc_id").alias("d"), F.col("at.row").alias("r")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "n", "sig")).alias("places"))
-    holding = texts.join(places.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(F.col("d")) & (texts["row"] == F.col("r"))).select(F.split("text", "\n").alias("all"), F.explode("places").alias("p"))
-    known, _ = _shared.written(holding.select(F.col("p.n").alias("n"), F.col("p.sig").alias("sig"), normalized(F.get("all", F.col("p.line_no"))).alias("line")).dropDuplicates(["n"]), "line-texts")
+    wanted = groups.select("n").distinct().join(unique.select("n", "at"), "n")
+    places = wanted.groupBy(F.col("at.row").alias("row"), F.col("at.doc_id").alias("d")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "n")).alias("places"))
+    holding = texts.join(places.hint("shuffle_hash"), "row").where(F.col("doc_id").eqNullSafe(F.col("d"))).select("row", F.split("text", "\n").alias("all"), F.explode("places").alias("p"))
+    # Rows that repeat doc_id and text give their lines twice, in one task.
+    known = holding.select("row", F.col("p.n").alias("n"), normalized(F.get("all", F.col("p.line_no"))).alias("line")).dropDuplicates(["row", "n"]).select("n", "line")
+    known, _ = _shared.written(signatures(known, SKETCH), "line-texts")
 
     joined = _all_joined(groups, known, similar)
     placed = unique.select("n", "h1", "h2", "at", "copied").join(joined, "n", "left").where(F.col("copied") | F.col("component").isNotNull())
@@ -118,10 +122,6 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR, least_chars: int =
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def _given(sig: str) -> Column:
-    return F.coalesce(sig, F.array().cast("array<int>"))
-
-
 def _linked(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
     """The pairs (n, m) of lines whose sets of shingles are alike, as u, v."""
     lines = known.select("n", "line")
@@ -132,9 +132,15 @@ def _linked(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
     return sizes.where(F.col("common") >= similar * F.col("all")).select(F.col("n").alias("u"), F.col("m").alias("v"))
 
 
-def _share_enough(sig: Column, other: Column) -> Column:
-    """Of lines of few shingles, in which a change moves most of the signature, nothing is asked."""
-    return (F.least(F.size(sig), F.size(other)) < 2 * LEAST_SHARED) | (F.size(F.array_intersect(sig, other)) >= LEAST_SHARED)
+def _half_shared(lines: DataFrame) -> Column:
+    """Of lines and their twins (columns with ``_``): whether the samples, or else all their shingles, are half alike."""
+
+    def alike(c: str) -> Column:
+        common = F.size(F.array_intersect(c, f"{c}_"))
+        return common >= F.lit(SKETCHES_ALIKE) * (F.size(c) + F.size(f"{c}_") - common)
+
+    given = {c: F.col(c).isNotNull() & F.col(f"{c}_").isNotNull() for c in ("sig", "more")}
+    return F.when(given["sig"], alike("sig")).when(given["more"], alike("more")).otherwise(F.lit(False))
 
 
 def _apart(groups: DataFrame, joined: DataFrame) -> DataFrame:
@@ -144,86 +150,54 @@ def _apart(groups: DataFrame, joined: DataFrame) -> DataFrame:
     return named.join(mixed.select("key", "lines").hint("shuffle_hash"), "key")
 
 
-def _bitmaps(lines: DataFrame) -> DataFrame:
-    """n, size, b0 to b7: the number of each line's distinct shingles, and 512 bits of which each sets one."""
-    each = lines.select("n", F.array_distinct(shingles(F.col("line"))).alias("set")).select("n", F.size("set").alias("size"), F.explode("set").alias("x"))
-    bits = [F.expr(f"coalesce(bit_or(CASE WHEN (x & 7) = {k} THEN shiftleft(1L, cast((x >> 3) & 63 AS int)) END), 0L)").alias(f"b{k}") for k in range(8)]
-    return each.groupBy("n").agg(F.first("size").alias("size"), *bits)
-
-
-def _pairs(sided: DataFrame, near) -> DataFrame:
-    """``n, m`` of each key's lines of different components for which ``near`` holds of the columns and their twins."""
+def _pairs(sided: DataFrame) -> DataFrame:
+    """``n, m`` of each key's lines of different components that are half alike."""
     other = sided.select("key", *(F.col(c).alias(f"{c}_") for c in sided.columns if c != "key"))
-    pairs = sided.join(other, "key").where((F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_")) & near)
+    pairs = sided.join(other, "key").where((F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_")) & _half_shared(sided))
     return pairs.select("n", F.col("n_").alias("m")).distinct()
 
 
-def _differ_little(similar: float) -> Column:
-    """Sets differ in no fewer shingles than their bitmaps in bits, so what this leaves out can't be alike."""
-    differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_"))) for k in range(8)), F.lit(0))
-    return differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("size") + F.col("size_")) + 1e-6
-
-
-def _neighbours(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """``n, m``: each line with the next two of its group, by its characters from the front and from the back."""
-    lines = groups.select("key", "n").join(known.select("n", "line"), "n")
-    orders = [Window.partitionBy("key").orderBy(by, "n") for by in ("line", F.reverse("line"))]
-    beside = lines.select("n", F.array(*(F.lead("n", k).over(w) for w in orders for k in (1, 2))).alias("next"))
-    beside = beside.select("n", F.explode("next").alias("m")).where("m IS NOT NULL")
-    return beside.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m")).distinct()
-
-
-def _rare(lines: DataFrame, similar: float) -> DataFrame:
-    """key, n: so many of each line's rarest shingles that two lines of a similarity of ``similar`` share one of them."""
-    sets = lines.select("n", F.array_distinct(shingles(F.col("line"))).alias("set"))
+def _rare(sketches: DataFrame) -> DataFrame:
+    """key, n: so many of each line's rarest hashes that two lines half alike share one of them."""
+    sets = sketches.select("n", F.explode(F.array("sig", "more")).alias("set")).where("set IS NOT NULL")
     each = sets.select("n", F.size("set").alias("size"), F.explode("set").alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     some = each.join(often, "key").groupBy("n", "size").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
-    first = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-6) + 1
-    # Shingles of one line alone are the rarest of all and meet nothing.
+    first = F.col("size") - F.ceil(F.lit(SKETCHES_ALIKE) * F.col("size")) + 1
+    # Hashes of one line alone are the rarest of all and meet nothing.
     left = F.greatest(F.lit(0), first - (F.col("size") - F.size("shared"))).cast("int")
-    return some.select("n", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("x.key", "n")
+    return some.select("n", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("x.key", "n").distinct()
 
 
-def _merged(now: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``n, component`` after links between lines of the components found so far, which stand for them in what is left to join."""
-    found = _shared.components(links, "lines")
-    if now is None:
-        return _shared.written(found.withColumnRenamed("node", "n"), "line-components")[0]
-    return _shared.written(now.join(found.withColumnRenamed("component", "into"), F.col("component") == F.col("node"), "left").select("n", F.coalesce("into", "component").alias("component")), "line-components")[0]
+def _merged(now: DataFrame, links: DataFrame) -> DataFrame:
+    """``n, component`` after links between lines, which count as links of their components so far."""
+    ends = links
+    for end in ("u", "v"):
+        ends = ends.join(now.select(F.col("n").alias(end), F.col("component").alias(f"c{end}")), end)
+    found = _shared.components(ends.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")), "lines")
+    found = found.select("node", F.col("component").alias("into"))
+    return _shared.written(now.join(found, F.col("component") == F.col("node"), "left").select("n", F.coalesce("into", "component").alias("component")), "line-components")[0]
 
 
 def _all_joined(groups: DataFrame, known: DataFrame, similar: float) -> DataFrame:
     """``n, component`` of all links among the lines of each key (columns key, n, low, lines)."""
-    sigs = known.select("n", "sig")
-    first = groups.where("n > low").select("n", F.col("low").alias("m")).distinct()
-    both = first.join(sigs, "n").join(sigs.select(F.col("n").alias("m"), F.col("sig").alias("other")), "m")
-    near, _ = _shared.written(both.where(_share_enough(F.col("sig"), F.col("other"))).select("n", "m"), "line-pairs")
-    linked = _merged(None, _linked(near, known, similar))
-    now, _ = _shared.written(known.select("n").join(linked, "n", "left").select("n", F.coalesce("component", "n").alias("component")), "line-components")
-
-    def between(links: DataFrame) -> DataFrame:
-        """Links of lines as links of their components."""
-        ends = links
-        for end in ("u", "v"):
-            ends = ends.join(now.select(F.col("n").alias(end), F.col("component").alias(f"c{end}")), end)
-        return ends.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-
-    apart, _ = _shared.written(_apart(groups.where("lines > 2"), now), "groups-apart")
-    small = apart.where(F.col("lines") <= SMALL_GROUP).join(sigs, "n").select("key", "n", "component", "sig")
-    links = _linked(_pairs(small, _share_enough(F.col("sig"), F.col("sig_"))), known, similar)
-    large = apart.where(F.col("lines") > SMALL_GROUP)
-    some_large = not large.isEmpty()
-    if some_large:
-        links = links.unionByName(_linked(_neighbours(large, known), known, similar))
-    now = _merged(now, between(links))
-    if not some_large:
-        return now
-    left = known.join(_apart(large, now).select("n").distinct(), "n")
-    left, _ = _shared.written(left.select("n", "line"), "lines-apart")
-    rare, _ = _shared.written(_rare(left, similar), "rare-shingles")
-    sized = _apart(rare, now).select("key", "n", "component").join(_bitmaps(left), "n")
-    return _merged(now, between(_linked(_pairs(sized, _differ_little(similar)), known, similar)))
+    sketches = known.select("n", "sig", "more")
+    twins = sketches.select(*(F.col(c).alias(f"{c}_") for c in sketches.columns))
+    first = groups.where("n > low").select("n", F.col("low").alias("n_")).distinct()
+    near = first.join(sketches, "n").join(twins, "n_").where(_half_shared(sketches)).groupBy("n").agg(F.min("n_").alias("m"))
+    near, _ = _shared.written(near, "line-pairs")
+    found = _shared.components(_linked(near, known, similar), "lines").withColumnRenamed("node", "n")
+    now, _ = _shared.written(known.select("n").join(found, "n", "left").select("n", F.coalesce("component", "n").alias("component")), "line-components")
+
+    apart, _ = _shared.written(_apart(groups, now), "groups-apart")
+    small = apart.where(F.col("lines") <= SMALL_GROUP).select("key", "n", "component")
+    pairs = _pairs(small.join(sketches, "n"))
+    large = apart.where(F.col("lines") > SMALL_GROUP).select("n").distinct().join(sketches, "n")
+    rare, _ = _shared.written(_rare(large), "rare-shingles")
+    pairs = pairs.unionByName(_pairs(_apart(rare, now).select("key", "n", "component").join(sketches, "n"))).distinct()
+    pairs, _ = _shared.written(pairs, "line-pairs")
+    # What has been compared is settled either way.
+    return _merged(now, _linked(pairs.join(near, ["n", "m"], "left_anti"), known, similar))
 
 
 def _matched(docs: DataFrame, dropped: str, **options) -> DataFrame:
