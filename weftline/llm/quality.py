@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from weftline.llm import _shared
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
+MARKS = ".,;:!?\"'()[]-\u00ab\u00bb\u201c\u201d\u2018\u2019\u2026\u00bf\u00a1\u2013\u2014"
+WITHIN = str.maketrans("", "", "'-\u2019")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-STATS_SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_ends bigint, n_distinct bigint"
+STATS_SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_ends bigint, n_distinct bigint, n_digits bigint, n_alpha bigint, n_plain bigint"
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -52,16 +54,20 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_ends, n_distinct of one text.
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_ends, n_distinct, n_digits, n_alpha, n_plain of one text.
 
     ``bytes.split()`` splits on exactly x20 and x09-x0D. n_lines counts lines with a word, n_ends those that end in
-    a sentence mark.
+    a sentence mark, n_alpha words with a letter, n_plain words of letters but for marks around and ``'`` or ``-`` within.
     """
     text = text or ""
     raw = text.encode()
     words = raw.split()
     vocab: dict[bytes, int] = {}
     ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words))
+    times = np.bincount(ids, minlength=1)
+    forms = [w.decode() for w in vocab]
+    alpha = [any(map(str.isalpha, w)) for w in forms]
+    plain = [a and w.strip(MARKS).translate(WITHIN).isalpha() for a, w in zip(alpha, forms, strict=True)]
     spaces = sum(map(raw.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
     seen, dup, lines, ends = set(), 0, 0, 0
     for line in raw.split(b"\n"):
@@ -73,7 +79,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
                 dup += 1
             else:
                 seen.add(line)
-    return len(words), len(text) - spaces, len(SYMBOLS.findall(text)), dup, repeated_words(ids), lines, ends, len(vocab)
+    return len(words), len(text) - spaces, len(SYMBOLS.findall(text)), dup, repeated_words(ids), lines, ends, len(vocab), len(raw) - len(raw.translate(None, b"0123456789")), *(int(times[: len(x)] @ np.array(x, np.int64)) if x else 0 for x in (alpha, plain))
 
 
 def stats(docs: DataFrame) -> DataFrame:
@@ -106,10 +112,12 @@ def base_failed() -> Column:
 
 
 def default_rules() -> list[Rule]:
-    """Rules in the manner of published web-corpus filters; ratios are per word or line, empty texts vote bad where they can."""
+    """Rules in the manner of published web-corpus filters, each on a trait of its own, as votes count as independent given the class.
+
+    Ratios are per word, character or line; empty texts vote bad where they can.
+    """
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     length = F.col("word_chars") / words
-    symbols = F.col("n_symbols") / words
     dup = F.col("n_dup_lines") / lines
     repeats = F.col("n_repeat_words") / words
     distinct = F.col("n_distinct") / F.sqrt(words)
@@ -117,8 +125,10 @@ def default_rules() -> list[Rule]:
     return [
         Rule("length", F.col("n_words") < 30, F.col("n_words") >= 50),
         Rule("word_length", (length < 3) | (length > 12), (length >= 3.5) & (length <= 10)),
-        Rule("symbols_per_word", symbols > 0.1, symbols < 0.05),
         Rule("symbol_share", F.col("n_symbols") > 0.05 * F.col("word_chars"), F.col("n_symbols") < 0.02 * F.col("word_chars")),
+        Rule("alphabetic", F.col("n_alpha") < 0.8 * F.col("n_words"), F.col("n_alpha") > 0.9 * F.col("n_words")),
+        Rule("plain_words", F.col("n_plain") < 0.6 * F.col("n_words"), F.col("n_plain") > 0.8 * F.col("n_words")),
+        Rule("digits", F.col("n_digits") > 0.2 * F.col("word_chars"), F.col("n_digits") < 0.1 * F.col("word_chars")),
         Rule("dup_lines", (dup > 0.3) & (F.col("n_dup_lines") > 2), dup < 0.1),
         Rule("repeats", repeats > 0.3, repeats < 0.15),
         Rule("diversity", distinct < 2, distinct > 4),
@@ -130,13 +140,14 @@ def default_rules() -> list[Rule]:
 VOTES_IF_GOOD, VOTES_IF_BAD = (0.01, 0.09, 0.9), (0.4, 0.15, 0.45)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 300, weight: float = 0.02) -> tuple[float, np.ndarray]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 300, weight: float = 50.0) -> tuple[float, np.ndarray]:
     """Share of good documents and ``table[class, rule, vote + 1]``, by EM over counted vote patterns.
 
     Given the class (0 bad, 1 good) rules vote independently. Each rule has two accuracies, as a bad vote and a good
     vote need not be equally telling: how often it votes -1 on bad documents and 1 on good ones. ``VOTES_IF_GOOD``
-    and ``VOTES_IF_BAD`` enter as Dirichlet priors worth ``weight`` of all documents (ten at least) and say which
-    class is which. Starts from: good unless some rule votes bad. Without documents the priors are returned.
+    and ``VOTES_IF_BAD`` enter as Dirichlet priors worth ``weight`` documents of either class, which a larger corpus
+    outweighs. They and the start, good unless some rule votes bad, say which class is which. Without documents the
+    priors are returned.
     """
     prior = np.stack([np.tile(VOTES_IF_BAD, (n_rules, 1)), np.tile(VOTES_IF_GOOD, (n_rules, 1))])
     if not patterns:
@@ -145,11 +156,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
     n = np.array([c for _, c in patterns], float)
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
     good = np.array([0.98, 0.1, 0.02])[np.minimum((votes < 0).sum(1), 2)]
-    strength = max(10.0, weight * n.sum())
     table, share = prior, 0.5
     for _ in range(rounds):
         share = float(np.clip((good @ n + 9) / (n.sum() + 10), 0.02, 0.98))
-        then = np.stack([np.einsum("p,prv->rv", n * w, one_hot) + strength * prior[c] for c, w in enumerate((1 - good, good))])
+        then = np.stack([np.einsum("p,prv->rv", n * w, one_hot) + weight * prior[c] for c, w in enumerate((1 - good, good))])
         then /= then.sum(2, keepdims=True)
         done = np.abs(then - table).max() < 1e-9
         table = then
@@ -180,4 +190,9 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0
 
 
 def op9_quality_rules(spark, sf_dir):
+    """doc_id, the base counts, base_failed, kept and the posterior of every document.
+
+    Null and empty texts have no word and fail; repeated rows stay repeated and are judged alike; null doc_ids stay null;
+    an empty table gives no row.
+    """
     return judge(_shared.table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept", "posterior")

@@ -5,8 +5,9 @@ its minimizer, the least hash of the k-byte strings within it: equal windows hav
 minimizer occurs once is unique and is never looked at again. What is left travels as segments of text, grouped by
 minimizer, equal segments once. A task sorts the suffixes of its segments in two stages: suffixes smaller than their
 successors are sorted directly, the others are induced from their successors by one scan of the buckets. Windows that
-share ``span`` bytes with a neighbour in that order are repeated. Minimizers with very many occurrences are settled
-window by window, through a hash of each that is counted and joined like any key.
+share ``span`` bytes with a neighbour in that order are repeated. Where a minimizer has more distinct segments than a
+task should sort, they are cut anew at their minimizers under another hash, which stand beside the first in the key, and
+so on; what three such cuts leave together is settled window by window, through a hash of each that is counted and joined.
 """
 
 from __future__ import annotations
@@ -24,33 +25,37 @@ from weftline.llm import _shared
 
 SPAN = 200
 GRAM = 32
-HOT = 50_000
+#: Distinct segments of one key that are sorted in one task.
+HOT = 5_000
+CUTS = 3
+#: Windows of one segment; a run of one byte has one minimizer throughout.
+MOST_STARTS = 4096
 BLOCK = 1 << 21
 MIXED = np.random.default_rng(20).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 KEY = ("doc_id", "row")
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A hash of the ``gram`` bytes (a power of two) from each place on."""
+def gram_hashes(data: np.ndarray, gram: int = GRAM, salt: int = 0) -> np.ndarray:
+    """A hash of the ``gram`` bytes (a power of two) from each place on, another one for each salt."""
     h, width, factor = MIXED[data], 1, 0x9E3779B97F4A7C15
     while width < gram:
         h = h[:-width] * np.uint64(factor) + h[width:]
         factor = (factor * factor + 2) % (1 << 64)
         width *= 2
-    h ^= h >> np.uint64(29)
+    h ^= (h >> np.uint64(29)) + np.uint64(salt * 0x94D049BB133111EB % (1 << 64))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
 
 
-def minimizer_runs(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimizer_runs(data: np.ndarray, span: int = SPAN, gram: int = GRAM, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, first start, number of starts and occurrences (1, or 2 for more) of each run of windows with one minimizer."""
     block = 1 << 22
     none = np.zeros(0, np.int64)
     keys, starts, places = [], [], []
     for base in range(0, max(0, len(data) - span + 1), block):
         part = data[base : base + block + span - 1]
-        h = gram_hashes(part, gram)
+        h = gram_hashes(part, gram, salt)
         low = np.uint64((1 << 24) - 1)
         best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         width, want = 1, span - gram + 1
@@ -75,6 +80,17 @@ def minimizer_runs(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tupl
     return key[first], start[first], counts, np.where(moved > 0, 2, 1)
 
 
+def within(runs: tuple[np.ndarray, ...], most: int = MOST_STARTS) -> tuple[np.ndarray, ...]:
+    """Runs of at most ``most`` starts each."""
+    key, start, count, occurs = runs
+    if not (count > most).any():
+        return runs
+    parts = -(-count // most)
+    of = np.repeat(np.arange(len(count)), parts)
+    after = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+    return key[of], start[of] + after, np.minimum(count[of] - after, most), occurs[of]
+
+
 def is_smaller(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of each place, whether its suffix is smaller than the next one's; ``ends`` marks the last byte of each segment."""
     n = len(text)
@@ -234,7 +250,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_text:
     Every byte covered by a string of ``span`` bytes that also starts elsewhere, in the same text or another, is
     removed; strings are judged on the input. Null texts are empty. Repeated rows are texts like any others, so they
     remove each other. Rows are told apart by doc_id and a 64-bit hash of the text; columns other than doc_id and text
-    are ignored. Documents are read whole; tasks hold one document and one block of segments at a time.
+    are ignored; an empty table gives an empty result. Documents are read whole; tasks hold one document and one block
+    of segments at a time. ``hot`` is the number of distinct segments beyond which a key is cut anew.
     """
     rows = _keyed(docs)
 
@@ -246,7 +263,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_text:
                 data = np.frombuffer(text.as_buffer() or b"", np.uint8)
                 if len(data) < span:
                     continue
-                found = minimizer_runs(data, span)
+                found = within(minimizer_runs(data, span))
                 n = len(found[0])
                 for part, x in zip(parts, ([doc_id] * n, np.full(n, row), *found), strict=True):
                     part.append(x)
@@ -256,36 +273,34 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_text:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "key", "start", "n", "occurs"])
 
     runs, runs_at = _shared.written(rows.select("doc_id", "row", "text").mapInArrow(find, "doc_id bigint, row bigint, key bigint, start int, n int, occurs tinyint"), "runs")
-    often = runs.groupBy("key").agg(F.sum("occurs").alias("total")).where("total > 1").select("key", (F.col("total") > hot).alias("hot"))
-    candidates = runs.join(often, "key").select("doc_id", "row", "start", "n", "key", "hot")
+    often = runs.groupBy("key").agg(F.sum("occurs").alias("total")).where("total > 1").select("key")
+    candidates = runs.join(often, "key").select("doc_id", "row", "start", "n", "key")
     candidates, _ = _shared.written(candidates, "candidates")
     _shared.remove(docs.sparkSession, runs_at)
 
     def cut(batches):
         for b in batches:
-            out = [[], [], [], [], [], [], [], []]
+            out: list[list] = [[] for _ in SEGMENT]
             held = 0
             for doc_id, row, z, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 text = _unpacked(z)
                 for p in places:
                     piece = text[p["start"] : p["start"] + p["n"] - 1 + span]
-                    for column, x in zip(out, (doc_id, row, p["start"], p["n"], p["key"], p["hot"], xxhash.xxh3_128_digest(piece), piece), strict=True):
+                    for column, x in zip(out, (doc_id, row, p["start"], p["n"], p["key"], xxhash.xxh3_128_digest(piece), piece), strict=True):
                         column.append(x)
                     held += len(piece)
                 if held > 4 << 20:
                     yield _segments(out)
-                    out, held = [[], [], [], [], [], [], [], []], 0
+                    out, held = [[] for _ in SEGMENT], 0
             if held:
                 yield _segments(out)
 
-    wanted = candidates.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("places"))
+    wanted = candidates.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "key")).alias("places"))
     pieces = _joined(_packed(rows), wanted, "inner").select("doc_id", "row", "z", "places")
-    segments = pieces.mapInArrow(cut, "doc_id bigint, row bigint, start int, n int, key bigint, hot boolean, sid binary, piece binary")
+    segments = pieces.mapInArrow(cut, "doc_id bigint, row bigint, start int, n int, key bigint, sid binary, piece binary")
     path = _shared.new_folder(docs.sparkSession, "segments")
     segments.write.option("compression", "zstd").parquet(path)
     segments = docs.sparkSession.read.schema(segments.schema).parquet(path)
-    distinct = segments.groupBy("sid").agg(F.first("key").alias("key"), F.first("hot").alias("hot"), F.first("n").alias("n"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("copies"))
-
     def sort_blocks(batches):
         held: dict[int, list[tuple[bytes, int, bytes, int]]] = {}
         for b in batches:
@@ -305,9 +320,48 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_text:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["sid", "at"])
                 block, size = [], 0
 
-    distinct, _ = _shared.written(distinct, "distinct")
+    def cut_again(batches, salt):
+        for b in batches:
+            out: list[list] = [[] for _ in PART]
+            held = 0
+            for key, sid, piece, copies in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                keys, starts, counts, _ = within(minimizer_runs(np.frombuffer(piece, np.uint8), span, GRAM, salt))
+                # Segments of one key alone are cut, so the new key and the old one together are a new key.
+                keys = (keys ^ np.uint64(key % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+                for own, start, n in zip(keys.view(np.int64).tolist(), starts.tolist(), counts.tolist(), strict=True):
+                    part = piece[start : start + n - 1 + span]
+                    for column, x in zip(out, (sid, start, xxhash.xxh3_128_digest(part), own, n, part, copies), strict=True):
+                        column.append(x)
+                    held += len(part)
+                if held > 4 << 20:
+                    yield _arrays(out, PART)
+                    out, held = [[] for _ in PART], 0
+            if held:
+                yield _arrays(out, PART)
+
+    def settle(distinct: DataFrame, cuts: int) -> DataFrame:
+        """``sid, at``: runs of repeated windows of the segments (sid, key, n, piece, copies)."""
+        often, _ = _shared.written(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key"), "crowded-keys")
+        if often.isEmpty():
+            return distinct.select("key", "sid", "n", "piece", "copies").repartition("key").mapInArrow(sort_blocks, kind)
+        crowded, _ = _shared.written(distinct.join(often, "key", "left_semi").select(*distinct.columns), "crowded")
+        easy = distinct.join(often, "key", "left_anti").select("key", "sid", "n", "piece", "copies").repartition("key").mapInArrow(sort_blocks, kind)
+        if not cuts:
+            return easy.unionByName(by_window(crowded))
+        salt = 1 + CUTS - cuts
+        parts = crowded.select("key", "sid", "piece", "copies").mapInArrow(lambda batches: cut_again(batches, salt), ", ".join(f"{c} {t}" for c, t, _ in PART))
+        parts, _ = _shared.written(parts, "parts")
+        again = parts.groupBy("sid").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("piece").alias("piece"), F.sum("copies").alias("copies"))
+        again, _ = _shared.written(again, "distinct")
+        found = parts.select("of", "start", "sid").join(settle(again, cuts - 1), "sid")
+        return easy.unionByName(found.select(F.col("of").alias("sid"), F.transform("at", lambda x: (x + F.col("start")).cast("int")).alias("at")))
+
+    def by_window(some: DataFrame) -> DataFrame:
+        each = some.select("sid", "n", "piece", "copies").mapInArrow(windows, "window binary, sid binary, k int, weight int")
+        again = each.groupBy("window").agg(F.sum("weight").alias("total")).where("total > 1").select("window")
+        return each.join(again, "window").groupBy("sid").agg(F.flatten(F.collect_list(F.array(F.col("k"), F.col("k") + 1))).alias("at"))
+
     kind = "sid binary, at array<int>"
-    cold = distinct.where("not hot").select("key", "sid", "n", "piece", "copies").repartition("key").mapInArrow(sort_blocks, kind)
 
     def windows(batches):
         for b in batches:
@@ -315,10 +369,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_text:
                 weight = 2 if copies > 1 else 1
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(piece[k : k + span]) for k in range(n)], pa.binary()), pa.array([sid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([weight] * n, pa.int32())], ["window", "sid", "k", "weight"])
 
-    each = distinct.where("hot").select("sid", "n", "piece", "copies").mapInArrow(windows, "window binary, sid binary, k int, weight int")
-    again = each.groupBy("window").agg(F.sum("weight").alias("total")).where("total > 1").select("window")
-    steps = each.join(again, "window").groupBy("sid").agg(F.flatten(F.collect_list(F.array(F.col("k"), F.col("k") + 1))).alias("at"))
-    found = cold.unionByName(steps)
+    distinct = segments.groupBy("sid").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("copies"))
+    distinct, _ = _shared.written(distinct, "distinct")
+    found = settle(distinct, CUTS)
     covered = segments.select("doc_id", "row", "start", "sid").join(found, "sid").groupBy(*KEY).agg(F.collect_set(F.struct("start", "at")).alias("spans"))
 
     def drop(batches):
@@ -342,10 +395,21 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_text:
     return whole.mapInArrow(drop, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
 
 
+SEGMENT = [("doc_id", "bigint", pa.int64()), ("row", "bigint", pa.int64()), ("start", "int", pa.int32()), ("n", "int", pa.int32()), ("key", "bigint", pa.int64()), ("sid", "binary", pa.binary()), ("piece", "binary", pa.binary())]
+PART = [("of", "binary", pa.binary()), ("start", "int", pa.int32()), ("sid", "binary", pa.binary()), ("key", "bigint", pa.int64()), ("n", "int", pa.int32()), ("piece", "binary", pa.binary()), ("copies", "bigint", pa.int64())]
+
+
+def _arrays(out: list[list], columns: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(out, columns, strict=True)], [name for name, _, _ in columns])
+
+
 def _segments(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "row", "start", "n", "key", "hot", "sid", "piece"])
+    return _arrays(out, SEGMENT)
 
 
 def op8_suffix_dedup(spark, sf_dir):
+    """doc_id, the bytes of each document, how many are removed in how many runs, and the SHA-256 of what is kept.
+
+    Null and empty texts have no byte; repeated rows remove each other; null doc_ids stay null; an empty table gives no row.
+    """
     return remove_repeats(_shared.table(spark, sf_dir, "documents"))
