@@ -29,11 +29,11 @@ LEAST_CHARS = 20
 FEW, FEWEST = 18, 12
 BAND = 3
 #: Hashes kept of a line that is compared.
-SKETCH = 96
+SKETCH = 64
 #: Lines that are 0.8 alike in shingles of five characters are 0.7 alike in those of eight; the sample's share varies by some hundredths.
 SKETCHES_ALIKE = 0.5
 #: Larger groups of a band are split by rare shingles.
-SMALL_GROUP = 64
+SMALL_GROUP = 128
 SIMILAR = 0.8
 
 
@@ -132,12 +132,13 @@ def _linked(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
     return sizes.where(F.col("common") >= similar * F.col("all")).select(F.col("n").alias("u"), F.col("m").alias("v"))
 
 
-def _half_shared(lines: DataFrame) -> Column:
+def _half_shared() -> Column:
     """Of lines and their twins (columns with ``_``): whether the samples, or else all their shingles, are half alike."""
 
     def alike(c: str) -> Column:
+        one, other = F.size(c), F.size(f"{c}_")
         common = F.size(F.array_intersect(c, f"{c}_"))
-        return common >= F.lit(SKETCHES_ALIKE) * (F.size(c) + F.size(f"{c}_") - common)
+        return (F.least(one, other) >= SKETCHES_ALIKE * F.greatest(one, other)) & ((1 + SKETCHES_ALIKE) * common >= SKETCHES_ALIKE * (one + other))
 
     given = {c: F.col(c).isNotNull() & F.col(f"{c}_").isNotNull() for c in ("sig", "more")}
     return F.when(given["sig"], alike("sig")).when(given["more"], alike("more")).otherwise(F.lit(False))
@@ -150,11 +151,12 @@ def _apart(groups: DataFrame, joined: DataFrame) -> DataFrame:
     return named.join(mixed.select("key", "lines").hint("shuffle_hash"), "key")
 
 
-def _pairs(sided: DataFrame) -> DataFrame:
-    """``n, m`` of each key's lines of different components that are half alike."""
-    other = sided.select("key", *(F.col(c).alias(f"{c}_") for c in sided.columns if c != "key"))
-    pairs = sided.join(other, "key").where((F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_")) & _half_shared(sided))
-    return pairs.select("n", F.col("n_").alias("m")).distinct()
+def _pairs(groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``n, m`` of each key's lines of different components (columns key, n, component) that are half alike; each pair is looked at once."""
+    other = groups.select("key", F.col("n").alias("n_"), F.col("component").alias("component_"))
+    pairs = groups.join(other, "key").where((F.col("n") > F.col("n_")) & (F.col("component") != F.col("component_"))).select("n", "n_").distinct()
+    twins = sketches.select(*(F.col(c).alias(f"{c}_") for c in sketches.columns))
+    return pairs.join(sketches, "n").join(twins, "n_").where(_half_shared()).select("n", F.col("n_").alias("m"))
 
 
 def _rare(sketches: DataFrame) -> DataFrame:
@@ -184,17 +186,17 @@ def _all_joined(groups: DataFrame, known: DataFrame, similar: float) -> DataFram
     sketches = known.select("n", "sig", "more")
     twins = sketches.select(*(F.col(c).alias(f"{c}_") for c in sketches.columns))
     first = groups.where("n > low").select("n", F.col("low").alias("n_")).distinct()
-    near = first.join(sketches, "n").join(twins, "n_").where(_half_shared(sketches)).groupBy("n").agg(F.min("n_").alias("m"))
+    near = first.join(sketches, "n").join(twins, "n_").where(_half_shared()).groupBy("n").agg(F.min("n_").alias("m"))
     near, _ = _shared.written(near, "line-pairs")
     found = _shared.components(_linked(near, known, similar), "lines").withColumnRenamed("node", "n")
     now, _ = _shared.written(known.select("n").join(found, "n", "left").select("n", F.coalesce("component", "n").alias("component")), "line-components")
 
     apart, _ = _shared.written(_apart(groups, now), "groups-apart")
-    small = apart.where(F.col("lines") <= SMALL_GROUP).select("key", "n", "component")
-    pairs = _pairs(small.join(sketches, "n"))
-    large = apart.where(F.col("lines") > SMALL_GROUP).select("n").distinct().join(sketches, "n")
-    rare, _ = _shared.written(_rare(large), "rare-shingles")
-    pairs = pairs.unionByName(_pairs(_apart(rare, now).select("key", "n", "component").join(sketches, "n"))).distinct()
+    pairs = _pairs(apart.where(F.col("lines") <= SMALL_GROUP).select("key", "n", "component"), sketches)
+    large = apart.where(F.col("lines") > SMALL_GROUP)
+    if not large.isEmpty():
+        rare, _ = _shared.written(_rare(large.select("n").distinct().join(sketches, "n")), "rare-shingles")
+        pairs = pairs.unionByName(_pairs(_apart(rare, now).select("key", "n", "component"), sketches)).distinct()
     pairs, _ = _shared.written(pairs, "line-pairs")
     # What has been compared is settled either way.
     return _merged(now, _linked(pairs.join(near, ["n", "m"], "left_anti"), known, similar))
