@@ -21,6 +21,10 @@ DEFAULTS = {
     "periodic_spill_check": "1ms",
     "memory_reserve_timeout": "100 ms",
     "allow_overbooking_by_default": "true",
+    "pinned_memory": "false",
+    "pinned_initial_pool_size": "0%",
+    "pinned_max_pool_size": "80%",
+    "ucxx_progress_mode": "thread-blocking",
 }
 MAGIC, MOST_OPTIONS, MOST_BYTES = b"WFOP", 65_536, 1 << 20
 

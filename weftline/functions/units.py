@@ -110,5 +110,12 @@ def parse_string_list(text: Column, delimiter: str = ",") -> Column:
     return F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
+def parse_optional_nbytes(text: Column) -> Column:
+    """Bytes, or null where the text says that something is disabled."""
+    return parse_nbytes(parse_optional(text))
+
+
 def ceil_div(a: Column, b: Column) -> Column:
-    return F.ceil(a / b).cast("bigint")
+    """Of whole numbers of any size: what is left over is made up to a whole multiple first, and decimals divide exactly."""
+    whole = (a.cast("decimal(20,0)") + F.pmod(-a.cast("decimal(20,0)"), b.cast("decimal(20,0)"))).cast("decimal(20,0)")
+    return (whole / b.cast("decimal(20,0)")).cast("bigint")

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.running import numbered
+
 Reducer = Callable[[Column, Column], Column]
 
 REDUCERS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
@@ -15,8 +17,8 @@ REDUCERS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "
 def all_gather(df: DataFrame, rank: str = "rank", seq: str = "seq", ordered: bool = True) -> DataFrame:
     """Everything that any rank inserted, once, with a dense ``sequence`` from 0.
 
-    Ordered: by rank, then by insertion. The numbering counts rows per rank first (a partial aggregate) and numbers
-    within ranks, so no task sees more than one rank's rows. Unordered: numbered as rows happen to lie, without a shuffle.
+    Ordered: by rank, then by insertion (a whole number). The numbering counts rows per rank first (a partial aggregate)
+    and numbers each rank by blocks, so no task holds a rank. Unordered: numbered as rows happen to lie, without a shuffle.
     """
     if not ordered:
         return df.withColumn("sequence", F.monotonically_increasing_id())
@@ -24,8 +26,7 @@ def all_gather(df: DataFrame, rank: str = "rank", seq: str = "seq", ordered: boo
     before = F.coalesce(F.sum("_n").over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # A row per rank: bounded by the number of ranks.
     offsets = sizes.select(F.col(rank).alias("_rank"), before.alias("_before"))
-    nth = F.row_number().over(Window.partitionBy(rank).orderBy(seq)).cast("bigint") - 1
-    out = df.withColumn("_nth", nth).join(F.broadcast(offsets), F.col(rank) == F.col("_rank"))
+    out = numbered(df, [rank], seq, "_nth").join(F.broadcast(offsets), F.col(rank) == F.col("_rank"))
     return out.withColumn("sequence", F.col("_before") + F.col("_nth")).drop("_nth", "_before", "_rank")
 
 
@@ -89,8 +90,9 @@ def check_edges(edges: Iterable[tuple[int, int]], nranks: int) -> list[tuple[int
 
 
 def sparse_all_to_all(df: DataFrame, edges: Iterable[tuple[int, int]], nranks: int, src: str = "src", dst: str = "dst", seq: str = "seq", strict: bool = False) -> DataFrame:
-    """Messages along declared edges, with their ``ordinal`` in each sender's order, placed on the receiver's partition.
+    """Messages along declared edges, with their ``ordinal`` in each sender's order (``seq``, a whole number).
 
+    Ordinals are counted by blocks, so that an edge with very many messages is spread over tasks.
     Messages off the edges are left out, or where ``strict`` raise while the query runs. Edges are a small validated
     list, so they become a literal filter rather than a join.
     """
@@ -102,5 +104,4 @@ def sparse_all_to_all(df: DataFrame, edges: Iterable[tuple[int, int]], nranks: i
         kept = df.where(F.when(allowed, F.lit(True)).otherwise(F.raise_error(F.lit("message off the declared edges")).cast("boolean")))
     else:
         kept = df.where(allowed)
-    ordinal = F.row_number().over(Window.partitionBy(src, dst).orderBy(seq)).cast("bigint") - 1
-    return kept.repartition(dst, src).withColumn("ordinal", ordinal)
+    return numbered(kept, [src, dst], seq, "ordinal")

@@ -6,7 +6,9 @@ lazy throughout: ``wait`` runs the exchange and keeps its result in the storage
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
@@ -74,11 +76,25 @@ class Exchange:
         return self._result
 
     def _keep(self, result: DataFrame | None, timeout: float | None) -> None:
-        """Runs the exchange. A job can't be cut short here, so a timeout that has passed raises once it ends."""
+        """Runs the exchange. A timeout that passes cancels its jobs, by their tag, and raises."""
         began = time.monotonic()
         if result is not None and not self._kept:
             result.persist(self._level)
-            result.write.format("noop").mode("overwrite").save()
+            context, tag = result.sparkSession.sparkContext, f"exchange-{uuid.uuid4().hex}"
+            timer = None if timeout is None else threading.Timer(timeout, context.cancelJobsWithTag, [tag])
+            context.addJobTag(tag)
+            try:
+                if timer:
+                    timer.start()
+                result.write.format("noop").mode("overwrite").save()
+            except Exception as e:
+                if timeout is not None and time.monotonic() - began >= timeout:
+                    raise TimeoutError(f"the exchange was cut short after {timeout} s") from e
+                raise
+            finally:
+                context.removeJobTag(tag)
+                if timer:
+                    timer.cancel()
         if not self._kept:
             self._kept = True
             if self._callback:

@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.running import block_of
+
 
 def scope_records(events: DataFrame, scope: str = "scope", t: str = "t", delta: str = "delta") -> DataFrame:
     """Per scope: ``current, peak, total, max, n_alloc, n_dealloc`` from signed allocation events in order of ``t``.
 
-    The peak starts at nothing, so a scope that only frees has a peak of 0; one window per scope holds its events.
+    The peak starts at nothing, so a scope that only frees has a peak of 0. Events (``t`` is a whole number) are run over
+    by blocks of time; a scope's blocks, each with its sum and highest level, are run over once more.
     """
     size = F.col(delta).cast("bigint")
-    level = F.sum(size).over(Window.partitionBy(scope).orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
     allocated = F.when(size > 0, size)
+    level = F.sum(size).over(Window.partitionBy(scope, "_block").orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
+    blocks = (
+        events.withColumn("_block", block_of(events, t))
+        .withColumn("_level", level)
+        .groupBy(scope, "_block")
+        .agg(
+            F.sum(size).alias("_sum"),
+            F.max("_level").alias("_high"),
+            F.sum(allocated).alias("_total"),
+            F.max(allocated).alias("_max"),
+            F.count(allocated).alias("_alloc"),
+            F.count(F.when(size < 0, size)).alias("_dealloc"),
+        )
+    )
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
-        events.withColumn("_level", level)
+        blocks.withColumn("_reached", before + F.col("_high"))
         .groupBy(scope)
         .agg(
-            F.sum(size).cast("bigint").alias("current"),
-            F.greatest(F.lit(0), F.max("_level")).cast("bigint").alias("peak"),
-            F.coalesce(F.sum(allocated), F.lit(0)).cast("bigint").alias("total"),
-            F.coalesce(F.max(allocated), F.lit(0)).cast("bigint").alias("max"),
-            F.count(allocated).alias("n_alloc"),
-            F.count(F.when(size < 0, size)).alias("n_dealloc"),
+            F.sum("_sum").cast("bigint").alias("current"),
+            F.greatest(F.lit(0), F.max("_reached")).cast("bigint").alias("peak"),
+            F.coalesce(F.sum("_total"), F.lit(0)).cast("bigint").alias("total"),
+            F.coalesce(F.max("_max"), F.lit(0)).cast("bigint").alias("max"),
+            F.sum("_alloc").alias("n_alloc"),
+            F.sum("_dealloc").alias("n_dealloc"),
         )
     )
 

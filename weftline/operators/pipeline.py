@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import inspect
+import uuid
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.config import Options
+from weftline.operators.running import numbered, totals_before
 from weftline.operators.shuffle import shuffle
 
 
@@ -82,13 +86,27 @@ class Network:
         return self._made[channel]
 
     def run(self, sinks: Mapping[str, str]) -> dict[str, int]:
-        """Writes the named channels as Parquet and returns their row counts. An actor's error ends the run."""
-        out = {}
-        for channel, path in sinks.items():
-            df = self.output(channel)
-            df.write.mode("errorifexists").parquet(path)
-            out[channel] = self.context.spark.read.schema(df.schema).parquet(path).count()
-        return out
+        """Writes the named channels as Parquet, all at once, and returns their row counts.
+
+        The first error cancels what the other sinks still run; all errors are raised as a group.
+        """
+        spark = self.context.spark
+        frames = {channel: self.output(channel) for channel in sinks}
+        tag = f"network-{uuid.uuid4().hex}"
+
+        def write(channel: str, path: str) -> int:
+            spark.sparkContext.addJobTag(tag)
+            frames[channel].write.mode("errorifexists").parquet(path)
+            return spark.read.schema(frames[channel].schema).parquet(path).count()
+
+        with ThreadPoolExecutor(max(1, len(sinks))) as pool:
+            running = {channel: pool.submit(inheritable_thread_target(spark)(write), channel, path) for channel, path in sinks.items()}
+            if any(f.exception() for f in wait(running.values(), return_when=FIRST_EXCEPTION).done):
+                spark.sparkContext.cancelJobsWithTag(tag)
+        errors = [e for f in running.values() if (e := f.exception())]
+        if errors:
+            raise ExceptionGroup(f"{len(errors)} of {len(sinks)} sinks failed", errors)
+        return {channel: f.result() for channel, f in running.items()}
 
 
 def fanout(df: DataFrame, outputs: int, bounded: bool = True) -> list[DataFrame]:
@@ -114,27 +132,14 @@ def linearise(producers: Iterable[DataFrame], seq: str = "seq") -> DataFrame:
     return out.orderBy(seq)
 
 
-def totals_before(df: DataFrame, key: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
-    """Adds the sum of ``value`` over all rows with a smaller ``key`` (unique whole numbers).
-
-    Keys are summed by blocks first; only the blocks' sums are run over in one task, then each block by itself.
-    """
-    rows = df.withColumn("_block", F.floor(F.col(key) / block))
-    blocks = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("_block", earlier.alias("_earlier"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_own", own).join(blocks, "_block").withColumn(name, (F.col("_earlier") + F.col("_own")).cast("bigint")).drop("_block", "_own", "_earlier")
-
-
 def round_robin_order(df: DataFrame, producer: str, order: str) -> DataFrame:
     """Adds ``ordinal`` and ``position``: one message of each producer in turn, as queues are drained.
 
     A message's position is the number of messages before it: those of lower ordinal of all producers, counted from
-    the producers' sizes, and those of its ordinal of earlier producers. No window goes over all rows.
+    the producers' sizes, and those of its ordinal of earlier producers. No window goes over all rows, nor over all of
+    a producer's: ordinals are counted by blocks. One window holds the messages of one ordinal, a row per producer.
     """
-    nth = F.row_number().over(Window.partitionBy(producer).orderBy(order)).cast("bigint") - 1
-    rows = df.withColumn("ordinal", nth)
+    rows = numbered(df, [producer], order, "ordinal")
     levels = totals_before(rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("_n")), "ordinal", "_n", "_before").drop("_n")
     within = F.row_number().over(Window.partitionBy("ordinal").orderBy(producer)).cast("bigint") - 1
     return rows.withColumn("_within", within).join(levels, "ordinal").withColumn("position", F.col("_before") + F.col("_within")).drop("_before", "_within")

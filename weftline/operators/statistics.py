@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import units
+from weftline.sources.tables import literal_rows
 
 EXACT = "decimal(18,2)"
 
@@ -42,15 +43,45 @@ def _three(events: DataFrame, stem: Column, nbytes: str, seconds: str, delay: st
     return events.select(F.inline(F.array(*rows)))
 
 
-def bytes_report(count: Column, total: Column, largest: Column) -> Column:
-    """``total``; with several events, ``total | avg average | max largest``."""
-    avg = F.concat(F.lit(" | avg "), units.format_nbytes(total / count), F.lit(" | max "), units.format_nbytes(largest))
-    return F.concat(units.format_nbytes(total), F.when(count > 1, avg).otherwise(F.lit("")))
+def general(x: Column) -> Column:
+    """Six significant digits, as ``%g`` prints them."""
+    plain = F.format_string("%.5e", x.cast("double"))
+    power = F.regexp_extract(plain, r"e([+-]\d+)$", 1).cast("int")
+    out = F.concat(F.regexp_replace(F.regexp_extract(plain, r"^(.*)e", 1), r"\.?0+$", ""), F.regexp_extract(plain, r"(e[+-]\d+)$", 1))
+    for k in range(-4, 6):
+        fixed = F.format_string(f"%.{5 - k}f", x.cast("double"))
+        out = F.when(power == k, F.regexp_replace(fixed, r"\.?0+$", "") if k < 5 else fixed).otherwise(out)
+    return F.when(x == 0, F.lit("0")).otherwise(out)
 
 
-def duration_report(count: Column, total: Column, largest: Column) -> Column:
-    avg = F.concat(F.lit(" | avg "), units.format_duration(total / count), F.lit(" | max "), units.format_duration(largest))
-    return F.concat(units.format_duration(total), F.when(count > 1, avg).otherwise(F.lit("")))
+def default_report(count: Column, total: Column) -> Column:
+    """``total``; with several events ``total (count n)``."""
+    return F.concat(general(total), F.when(count > 1, F.concat(F.lit(" (count "), count.cast("string"), F.lit(")"))).otherwise(F.lit("")))
+
+
+def bytes_report(count: Column, total: Column) -> Column:
+    """``total``; with several events, ``total | avg average``."""
+    return F.concat(units.format_nbytes(total), F.when(count > 1, F.concat(F.lit(" | avg "), units.format_nbytes(total / count))).otherwise(F.lit("")))
+
+
+def duration_report(count: Column, total: Column) -> Column:
+    return F.concat(units.format_duration(total), F.when(count > 1, F.concat(F.lit(" | avg "), units.format_duration(total / count))).otherwise(F.lit("")))
+
+
+def hit_rate_report(count: Column, total: Column) -> Column:
+    """Hits are the total of a statistic whose events are the lookups."""
+    return F.concat(general(total), F.lit("/"), count.cast("string"), F.lit(" (hits/lookups)"))
+
+
+def memory_throughput_report(nbytes: tuple[Column, Column], seconds: tuple[Column, Column], delay: tuple[Column, Column]) -> Column:
+    """Bytes, time, bytes a second and average stream delay of (count, total) each; the counts must agree."""
+    (n, b), (m, t), (k, d) = nbytes, seconds, delay
+    parts = (units.format_nbytes(b), F.lit(" | "), units.format_duration(t), F.lit(" | "), units.format_nbytes(b / t), F.lit("/s | avg-stream-delay "), units.format_duration(d / m))
+    return F.when((n != m) | (m != k), F.raise_error(F.lit("counts of bytes, times and delays differ")).cast("string")).otherwise(F.concat(*parts))
+
+
+#: Formatter by name, and how many statistics each renders.
+FORMATTERS = {"default": 1, "bytes": 1, "duration": 1, "hit_rate": 1, "memory_throughput": 3}
 
 
 def hit_rate(hits: Column, total: Column) -> Column:
@@ -92,6 +123,66 @@ def _render(formats: dict[str, Column]) -> Column:
     return out
 
 
+def report_lines(stats: DataFrame, entries: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """``label, line`` per report entry, rendered by its formatter, and per statistic that no whole entry claims.
+
+    ``entries`` maps a label to a formatter's name and the statistics it renders, in order. An entry one of whose
+    statistics is missing says so and claims nothing. A row per statistic name: few, however many events there were.
+    """
+    for label, (kind, names) in entries.items():
+        if len(names) != FORMATTERS.get(kind, -1):
+            raise ValueError(f"{label!r}: no formatter {kind!r} of {len(names)} statistics")
+    wanted = literal_rows(stats.sparkSession, "label string, kind string, pos int, name string", [(k, kind, i, n) for k, (kind, names) in entries.items() for i, n in enumerate(names)])
+    parts = F.sort_array(F.collect_list(F.struct("pos", "count", "value")))
+    found = wanted.join(stats, "name", "left").groupBy("label", "kind").agg((F.count("count") == F.count(F.lit(1))).alias("whole"), parts.alias("parts"), F.collect_list("name").alias("names"))
+    claimed = found.where("whole").select(F.explode("names").alias("name"))
+    alone = stats.join(claimed, "name", "left_anti").select(F.col("name").alias("label"), F.lit("default").alias("kind"), F.lit(True).alias("whole"), F.array(F.struct(F.lit(0).alias("pos"), "count", "value")).alias("parts"))
+    rows = found.drop("names").unionByName(alone)
+    part = [(F.get("parts", F.lit(i))["count"], F.get("parts", F.lit(i))["value"]) for i in range(3)]
+    shown = F.when(~F.col("whole"), F.lit("No data collected")).when(F.col("kind") == "memory_throughput", memory_throughput_report(*part))
+    for kind, render in (("bytes", bytes_report), ("duration", duration_report), ("hit_rate", hit_rate_report)):
+        shown = shown.when(F.col("kind") == kind, render(*part[0]))
+    width = rows.agg(F.coalesce(F.max(F.length("label")), F.lit(0)).alias("width"))
+    lines = rows.withColumn("shown", shown.otherwise(default_report(*part[0]))).join(F.broadcast(width))  # one row
+    return lines.select("label", F.concat(F.lit(" - "), F.rpad(F.concat("label", F.lit(":")), F.col("width") + 3, F.lit(" ")), "shown").alias("line"))
+
+
+def memory_lines(records: DataFrame) -> DataFrame:
+    """``name, peak, line`` per memory record (name, num_calls, peak, global_peak, total, max)."""
+    cells = [F.lpad(F.col("num_calls").cast("string"), 8, " "), *(F.lpad(units.format_nbytes(F.col(c)), 12, " ") for c in ("peak", "global_peak", "total", "max"))]
+    return records.select("name", "peak", F.concat(*cells, F.lit("  "), "name").alias("line"))
+
+
+# What stands around the lines of a report.
+MEMORY_TITLE = "Memory Profiling\n----------------\n"
+MEMORY_LEGEND = """Legends:
+  ncalls - number of times the scope was executed.
+  peak   - peak memory usage by the scope.
+  g-peak - global peak memory usage during the scope's execution.
+  accum  - total accumulated memory allocations by the scope.
+  max    - largest single allocation by the scope.
+
+Ordered by: peak (descending)
+
+"""
+MEMORY_HEAD = "  ncalls        peak      g-peak       accum         max  filename:lineno(name)\n"
+MEMORY_END = "\nLimitation:\n  - A scope only tracks allocations made by the thread that entered it.\n"
+
+
+def report_text(stats: DataFrame, entries: dict[str, tuple[str, list[str]]], records: DataFrame | None = None, enabled: bool = True, header: str = "Statistics:") -> DataFrame:
+    """The whole report as one ``text``: the header, lines by label, and the memory records by falling peak."""
+    if not enabled:
+        return stats.sparkSession.range(1).select(F.lit(f"{header} disabled.").alias("text"))
+    lines = report_lines(stats, entries)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    head = lines.agg(F.concat(F.lit(f"{header}\n"), text, F.lit("\n" + MEMORY_TITLE)).alias("text"))
+    if records is None:
+        return head.select(F.concat("text", F.lit("Disabled")).alias("text"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("peak")).alias("below"), "name", "line")))
+    body = memory_lines(records).agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("body"))
+    return head.join(F.broadcast(body)).select(F.concat("text", F.lit(MEMORY_LEGEND + MEMORY_HEAD), "body", F.lit(MEMORY_END)).alias("text"))  # one row each
+
+
 def as_json(stats: DataFrame) -> DataFrame:
     """All statistics as one JSON object by name; names that JSON would have to escape are refused."""
     safe = F.when(F.col("name").rlike(r'["\\\x00-\x1f]'), F.raise_error(F.lit("a statistic's name is not safe in JSON")).cast("string")).otherwise(F.col("name"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import units
 from weftline.operators import memory_records, reservation, spill_policy, spill_report, statistics
-from weftline.sources.tables import table
+from weftline.sources.tables import literal_rows, table
 from weftline.streaming import structured
 
 
@@ -28,8 +28,8 @@ def stat_merge(spark, sf_dir):
 
 
 def stat_report_bytes(spark, sf_dir):
-    sent = _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(_size()).alias("s"), F.max(_size()).alias("m"))
-    return sent.select("event_type", statistics.bytes_report(F.col("n"), F.col("s"), F.col("m")).alias("report"))
+    sent = _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(_size()).alias("s"))
+    return sent.select("event_type", statistics.bytes_report(F.col("n"), F.col("s")).alias("report"))
 
 
 def stat_copy_events(spark, sf_dir):
@@ -39,7 +39,29 @@ def stat_copy_events(spark, sf_dir):
 
 def stat_report_lines(spark, sf_dir):
     stats = statistics.accumulate(_events(spark, sf_dir).select("event_type", F.round("value").alias("value")), "event_type")
-    return statistics.report(stats, {"missing": ["no-such-statistic"]}, {})
+    return statistics.report_lines(stats, {"missing": ("bytes", ["no-such-statistic"]), "hits": ("hit_rate", ["click"])}).select("line")
+
+
+def _copies(spark, sf_dir):
+    return _events(spark, sf_dir).select(F.lit("DEVICE").alias("src"), F.lit("HOST").alias("dst"), _size().alias("nbytes"), F.lit(0.5).alias("seconds"), F.lit(0.25).alias("delay"))
+
+
+def stat_report_text(spark, sf_dir):
+    events = _events(spark, sf_dir).select(F.col("event_type").alias("name"), F.round("value").alias("value"))
+    stats = statistics.accumulate(events.unionByName(statistics.copy_events(_copies(spark, sf_dir))))
+    copied = [f"copy-device-to-host-{x}" for x in ("bytes", "time", "stream-delay")]
+    return statistics.report_text(stats, {"copied": ("memory_throughput", copied), "clicked": ("bytes", ["click"]), "viewed": ("duration", ["view"]), "missing": ("default", ["none"])})
+
+
+def stat_alloc_events(spark, sf_dir):
+    events = _events(spark, sf_dir).select(F.when(F.col("event_id") % 2 == 0, "HOST").otherwise("PINNED_HOST").alias("mem_type"), _size().alias("nbytes"), F.lit(0.5).alias("seconds"), F.lit(0.25).alias("delay"))
+    return statistics.accumulate(statistics.alloc_events(events))
+
+
+def memory_report_lines(spark, sf_dir):
+    records = memory_records.scope_records(_deltas(spark, sf_dir))
+    named = records.select(F.concat(F.lit("scope "), F.col("scope").cast("string")).alias("name"), (F.col("n_alloc") + F.col("n_dealloc")).alias("num_calls"), "peak", F.col("peak").alias("global_peak"), "total", "max")
+    return statistics.memory_lines(named).select("name", "line")
 
 
 def stat_json(spark, sf_dir):
@@ -137,7 +159,7 @@ def spill_trace(spark, sf_dir):
     events = _events(spark, sf_dir)
     inline = F.col("event_id") % 2 == 0
     trace = events.select((F.col("event_id") * 1000).alias("start"), (F.col("event_id") * 1000 + F.col("user_id")).alias("end"), F.when(inline, F.col("event_type")).alias("text"), F.when(~inline, F.col("user_id") % 3).alias("text_id"), _size().alias("payload"))
-    strings = spark.createDataFrame([(0, "click"), (1, "purchase"), (2, "other")], "id bigint, value string")
+    strings = literal_rows(spark, "id bigint, value string", [(0, "click"), (1, "purchase"), (2, "other")])
     return spill_report.analyze(trace, strings, "click", "purchase").withColumn("std", F.round("std", 6))
 
 
@@ -174,10 +196,20 @@ def parse_words(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", units.parse_bool(text).alias("flag"), units.parse_optional(text).alias("kept"), F.size(units.parse_string_list(F.concat(text, F.lit(", ,b")))).cast("bigint").alias("tokens"))
 
 
+def parse_lists(spark, sf_dir):
+    text = F.element_at(F.array(*(F.lit(u) for u in ("a,b", " a , ,b ", "", "one", "x,"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", F.array_join(units.parse_string_list(text), "|").alias("tokens"))
+
+
+def parse_optional_sizes(spark, sf_dir):
+    text = F.element_at(F.array(*(F.lit(u) for u in ("1 KiB", "disabled", "2MB", "none", "7"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", units.parse_optional_nbytes(text).alias("nbytes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        stat_accumulate, stat_merge, stat_report_bytes, stat_copy_events, stat_report_lines, stat_json, stat_throughput, streaming_stats, memory_peak,
+        stat_accumulate, stat_merge, stat_report_bytes, stat_copy_events, stat_alloc_events, stat_report_lines, stat_report_text, memory_report_lines, parse_lists, parse_optional_sizes, stat_json, stat_throughput, streaming_stats, memory_peak,
         memory_scope_merge, memory_subscope, spill_fifo, spill_by_tier, spill_received_chunks, spill_priority, spill_best_fit, reservation_order, reservation_forced,
         reservation_overbooking, reservation_tiers, spill_trace, spill_ratios, format_sizes, format_durations, parse_sizes, parse_percents, parse_durations, parse_words,
     )
@@ -221,11 +253,24 @@ ORACLES = {
     "stat_accumulate": _STATS,
     "stat_merge": _STATS,
     "streaming_stats": _STATS,
-    "stat_report_bytes": f"SELECT event_type, {_bytes_text('s')} || CASE WHEN n > 1 THEN ' | avg ' || {_bytes_text('(s / n)')} || ' | max ' || {_bytes_text('m')} ELSE '' END AS report FROM (SELECT event_type, count(*) AS n, sum(strlen(props)) AS s, max(strlen(props)) AS m FROM events GROUP BY 1)",
+    "stat_report_bytes": f"SELECT event_type, {_bytes_text('s')} || CASE WHEN n > 1 THEN ' | avg ' || {_bytes_text('(s / n)')} ELSE '' END AS report FROM (SELECT event_type, count(*) AS n, sum(strlen(props)) AS s FROM events GROUP BY 1)",
     "stat_copy_events": """WITH e AS (SELECT 'copy-device-to-' || CASE WHEN event_id % 2 = 0 THEN 'host' ELSE 'pinned_host' END AS stem, strlen(props) AS b FROM events)
         SELECT name, count(*) AS count, CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE) AS value, max(v) AS max FROM (SELECT stem || '-bytes' AS name, CAST(b AS DOUBLE) AS v FROM e UNION ALL SELECT stem || '-time', 0.5 FROM e UNION ALL SELECT stem || '-stream-delay', 0.25 FROM e) GROUP BY 1""",
-    "stat_report_lines": """WITH s AS (SELECT event_type AS label, CAST(CAST(sum(round(value)) AS BIGINT) AS VARCHAR) AS shown FROM events GROUP BY 1 UNION ALL SELECT 'missing', 'No data collected')
+    "stat_report_lines": """WITH s AS (SELECT name AS label, printf('%g', value) || CASE WHEN count > 1 THEN ' (count ' || count || ')' ELSE '' END AS shown FROM (SELECT event_type AS name, count(*) AS count, CAST(sum(round(value)) AS DOUBLE) AS value FROM events GROUP BY 1) WHERE name <> 'click'
+        UNION ALL SELECT 'hits', printf('%g', CAST(sum(round(value)) AS DOUBLE)) || '/' || count(*) || ' (hits/lookups)' FROM events WHERE event_type = 'click' UNION ALL SELECT 'missing', 'No data collected')
         SELECT ' - ' || rpad(label || ':', CAST((SELECT max(length(label)) FROM s) + 3 AS INT), ' ') || shown AS line FROM s""",
+    "stat_report_text": f"""WITH e AS (SELECT event_type AS name, count(*) AS n, CAST(sum(round(value)) AS DOUBLE) AS v FROM events GROUP BY 1), c AS (SELECT count(*) AS n, CAST(sum(strlen(props)) AS DOUBLE) AS b FROM events),
+        s AS (SELECT name AS label, printf('%g', v) || CASE WHEN n > 1 THEN ' (count ' || n || ')' ELSE '' END AS shown FROM e WHERE name NOT IN ('click', 'view')
+        UNION ALL SELECT 'clicked', {_bytes_text('v')} || CASE WHEN n > 1 THEN ' | avg ' || {_bytes_text('(v / n)')} ELSE '' END FROM e WHERE name = 'click'
+        UNION ALL SELECT 'viewed', {_duration_text('v')} || CASE WHEN n > 1 THEN ' | avg ' || {_duration_text('(v / n)')} ELSE '' END FROM e WHERE name = 'view'
+        UNION ALL SELECT 'copied', {_bytes_text('b')} || ' | ' || {_duration_text('(n * 0.5::DOUBLE)')} || ' | ' || {_bytes_text('(b / (n * 0.5::DOUBLE))')} || '/s | avg-stream-delay 250 ms' FROM c
+        UNION ALL SELECT 'missing', 'No data collected')
+        SELECT 'Statistics:' || chr(10) || string_agg(' - ' || rpad(label || ':', CAST((SELECT max(length(label)) FROM s) + 3 AS INT), ' ') || shown || chr(10), '' ORDER BY label) || chr(10) || 'Memory Profiling' || chr(10) || '----------------' || chr(10) || 'Disabled' AS text FROM s""",
+    "stat_alloc_events": """WITH e AS (SELECT 'alloc-' || CASE WHEN event_id % 2 = 0 THEN 'host' ELSE 'pinned_host' END AS stem, strlen(props) AS b FROM events)
+        SELECT name, count(*) AS count, CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE) AS value, max(v) AS max FROM (SELECT stem || '-bytes' AS name, CAST(b AS DOUBLE) AS v FROM e UNION ALL SELECT stem || '-time', 0.5 FROM e UNION ALL SELECT stem || '-stream-delay', 0.25 FROM e) GROUP BY 1""",
+    "memory_report_lines": f"SELECT 'scope ' || scope AS name, lpad(CAST(n_alloc + n_dealloc AS VARCHAR), 8, ' ') || lpad({_bytes_text('peak')}, 12, ' ') || lpad({_bytes_text('peak')}, 12, ' ') || lpad({_bytes_text('total')}, 12, ' ') || lpad({_bytes_text('max')}, 12, ' ') || '  scope ' || scope AS line FROM {_RECORDS}",
+    "parse_lists": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a||b' WHEN 2 THEN '' WHEN 3 THEN 'one' ELSE 'x|' END AS tokens FROM events",
+    "parse_optional_sizes": "SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN 1024 WHEN 2 THEN 2000000 WHEN 4 THEN 7 END AS BIGINT) AS nbytes FROM events",
     "stat_json": f"""SELECT '{{' || string_agg('"' || name || '":{{"count":' || count || ',"value":' || CAST(value AS VARCHAR) || ',"max":' || CAST(max AS VARCHAR) || '}}', ',' ORDER BY name) || '}}' AS json
         FROM (SELECT event_type AS name, count(*) AS count, CAST(sum(floor(value)) AS DOUBLE) AS value, CAST(max(floor(value)) AS DOUBLE) AS max FROM events GROUP BY 1)""",
     "stat_throughput": "SELECT event_type, CAST(sum(strlen(props)) AS DOUBLE) / (count(*) * 0.5) AS per_second, 50.0::DOUBLE AS hit_rate FROM events GROUP BY 1",

@@ -25,16 +25,16 @@ def chunk_indices(spark, sf_dir):
 
 
 def shuffle_placement(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % P).alias("pid"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % P).cast("int").alias("pid"))
     placed = shuffle.shuffle(rows, "pid", P).withColumn("partition", F.spark_partition_id().cast("bigint"))
-    return placed.groupBy("pid", "partition").agg(F.count(F.lit(1)).alias("n"))
+    return placed.groupBy("pid", "partition").agg(F.count(F.lit(1)).alias("n")).withColumn("pid", F.col("pid").cast("bigint"))
 
 
 def shuffle_conservation(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("pid"), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).cast("int").alias("pid"), "o_orderkey")
     before = rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n_in"), F.sum("o_orderkey").alias("key_sum_in"))
     after = shuffle.shuffle(rows, "pid", 10).groupBy("pid").agg(F.count(F.lit(1)).alias("n_out"), F.sum("o_orderkey").alias("key_sum_out"))
-    return before.join(after, "pid")
+    return before.join(after, "pid").withColumn("pid", F.col("pid").cast("bigint"))
 
 
 def shuffle_payload_stats(spark, sf_dir):
@@ -194,9 +194,10 @@ def principal_tiers(spark, sf_dir):
 
 def shuffle_join(spark, sf_dir):
     """Both sides dealt to the same exact partitions, then joined there: one exchange a side."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("decimal(18,2)").alias("q"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % P).cast("int").alias("pid"), "l_orderkey", F.col("l_quantity").cast("decimal(18,2)").alias("q"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % P).cast("int").alias("pid"), F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    # Both sides lie where the join wants them; hashing one side within a partition needs no exchange and no sort.
+    joined = shuffle.shuffle(items, "pid", P).join(shuffle.shuffle(orders, "pid", P).hint("shuffle_hash"), ["pid", "l_orderkey"])
     return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("q").cast("double").alias("quantity"))
 
 

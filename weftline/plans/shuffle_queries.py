@@ -12,13 +12,13 @@ P, RANKS = 8, 3
 
 def _dealt(owner):
     def query(spark, sf_dir):
-        rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % P).alias("pid"), "l_quantity", "l_extendedprice")
+        rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % P).cast("int").alias("pid"), "l_quantity", "l_extendedprice")
         dealt = shuffle.owned(shuffle.shuffle(rows, "pid", P), "pid", RANKS, P, owner)
-        return dealt.groupBy("pid", "rank").agg(
+        return dealt.groupBy(F.col("pid"), F.col("rank")).agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"),
             F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"),
-        )
+        ).withColumn("pid", F.col("pid").cast("bigint"))
 
     return query
 
