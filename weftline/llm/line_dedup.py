@@ -32,6 +32,8 @@ BAND = 3
 SKETCH = 64
 #: Lines that are 0.8 alike in shingles of five characters are 0.7 alike in those of eight; the sample's share varies by some hundredths.
 SKETCHES_ALIKE = 0.5
+#: Rounds in which lines are compared with one line of each group.
+HUBS = 2
 #: Larger groups of a band are split by rare shingles.
 SMALL_GROUP = 128
 SIMILAR = 0.8
@@ -187,11 +189,22 @@ def _all_joined(groups: DataFrame, known: DataFrame, similar: float) -> DataFram
     twins = sketches.select(*(F.col(c).alias(f"{c}_") for c in sketches.columns))
     first = groups.where("n > low").select("n", F.col("low").alias("n_")).distinct()
     near = first.join(sketches, "n").join(twins, "n_").where(_half_shared()).groupBy("n").agg(F.min("n_").alias("m"))
-    near, _ = _shared.written(near, "line-pairs")
-    found = _shared.components(_linked(near, known, similar), "lines").withColumnRenamed("node", "n")
+    compared, _ = _shared.written(near, "line-pairs")
+    found = _shared.components(_linked(compared, known, similar), "lines").withColumnRenamed("node", "n")
     now, _ = _shared.written(known.select("n").join(found, "n", "left").select("n", F.coalesce("component", "n").alias("component")), "line-components")
 
-    apart, _ = _shared.written(_apart(groups, now), "groups-apart")
+    # What is still apart is compared with other lines of its groups, one each, before all pairs are.
+    apart = groups
+    for salt in range(HUBS):
+        apart, _ = _shared.written(_apart(apart, now), "groups-apart")
+        hubs = apart.groupBy("key").agg(F.min_by(F.struct("n", "component"), F.xxhash64("n", F.lit(salt))).alias("hub"))
+        met = apart.join(hubs.hint("shuffle_hash"), "key").where("component <> hub.component").select("n", F.col("hub.n").alias("n_")).distinct()
+        ends = met.join(sketches, "n").join(twins, "n_").where(_half_shared()).select(F.greatest("n", "n_").alias("n"), F.least("n", "n_").alias("m"), F.col("n").alias("of"))
+        near = ends.join(compared, ["n", "m"], "left_anti").groupBy("of").agg(F.min(F.struct("n", "m")).alias("pair")).select("pair.*").distinct()
+        near, _ = _shared.written(near, "line-pairs")
+        now = _merged(now, _linked(near, known, similar))
+        compared = compared.unionByName(near)
+    apart, _ = _shared.written(_apart(apart, now), "groups-apart")
     pairs = _pairs(apart.where(F.col("lines") <= SMALL_GROUP).select("key", "n", "component"), sketches)
     large = apart.where(F.col("lines") > SMALL_GROUP)
     if not large.isEmpty():
@@ -199,7 +212,7 @@ def _all_joined(groups: DataFrame, known: DataFrame, similar: float) -> DataFram
         pairs = pairs.unionByName(_pairs(_apart(rare, now).select("key", "n", "component"), sketches)).distinct()
     pairs, _ = _shared.written(pairs, "line-pairs")
     # What has been compared is settled either way.
-    return _merged(now, _linked(pairs.join(near, ["n", "m"], "left_anti"), known, similar))
+    return _merged(now, _linked(pairs.join(compared, ["n", "m"], "left_anti"), known, similar))
 
 
 def _matched(docs: DataFrame, dropped: str, **options) -> DataFrame:
