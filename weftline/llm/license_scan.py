@@ -26,8 +26,8 @@ from weftline.llm._worker import slices
 MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
 MIT_REST = ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
-BSD_TWO = ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_TWO = ": Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 APACHE_GRANT = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
 APACHE_REST = " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 GPL_GRANT = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {0} of the License, or (at your option) any later version."
@@ -61,11 +61,12 @@ TEMPLATES = {
     "ISC": ("Released under the ISC License.", "ISC License", ISC_GRANT, ISC_GRANT + ISC_REST),
     "proprietary": ("All rights reserved.",),
 }
-WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+#: Hyphens part words, as lines may break at them.
+WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 #: Template words that say nothing about licenses.
 PLAIN = frozenset("a above all and any as at be by can conditions copy distribute either extent file files following for form forms free from in including is it law may met modify not obtain of on or other out own person program provided purpose published related source subject that the this to under use used version with within work you your author charge compliance deal option terms later v".split())
 #: Words that tell licenses apart, beside numbers and what holds one.
-NAMING = frozenset("mit apache gnu lesser affero general mozilla bsd isc cc cc0 by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution-sharealike attribution-noncommercial sharealike noncommercial noderivatives unencumbered reserved waived neither".split())
+NAMING = frozenset("mit apache gnu lesser affero general mozilla bsd isc cc cc0 sa nc nd creative commons sharealike noncommercial noderivatives unencumbered reserved waived neither".split())
 #: Spellings that are one word.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "https": "http"}
 SCHEMA = "doc_id bigint, block int, start bigint, end bigint, license string, template int, reduction double, margin double, missing array<string>, added array<string>"
