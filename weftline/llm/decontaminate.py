@@ -183,12 +183,12 @@ class TokenHashes(dict):
     def __missing__(self, token: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        h = self[token] = xxhash.xxh64_intdigest(token)
+        h = self[token] = (xxhash.xxh64_intdigest(token) ^ 1 << 63) - (1 << 63)  # signed, as numpy takes these faster
         return h
 
     def of(self, text: str | None) -> np.ndarray:
         words = tokens(text)
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
 def item_seeds(ids: np.ndarray, masks: tuple[str, ...], min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +207,8 @@ def item_seeds(ids: np.ndarray, masks: tuple[str, ...], min_words: int) -> tuple
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def _benchmark(benchmark: DataFrame, masks: tuple[str, ...], min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items (k, item_id, text, common places), their seeds (h, k, p) and their distinct token hashes (h)."""
+def _benchmark(benchmark: DataFrame, masks: tuple[str, ...], min_words: int) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """Items (k, item_id, text, common places), their seeds (h, k, p), their distinct token hashes (h) and the widths of short ones' parts."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     items, _ = _shared.written(items.select(F.monotonically_increasing_id().alias("k"), "item_id", "text"), "items")
 
@@ -220,6 +220,8 @@ def _benchmark(benchmark: DataFrame, masks: tuple[str, ...], min_words: int) ->
                 h, p = item_seeds(ids, masks, min_words)
                 plain = np.arange(max(0, len(ids) - 6))
                 kinds = [(h, p, 0), (seed_hashes(ids, "1" * 7, plain), plain, 1), (np.unique(ids), np.zeros(len(np.unique(ids)), np.int64), 2)]
+                if Index.short(n := len(ids)):
+                    kinds.append((np.array([n // (n - wanted(n, min_words) + 1)], np.uint64), np.zeros(1, np.int64), 3))
                 for own, at, kind in kinds:
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), k, np.int64)), pa.array(at.astype(np.int32)), pa.array(np.full(len(own), kind, np.int8))], ["h", "k", "p", "kind"])
 
@@ -227,13 +229,13 @@ def _benchmark(benchmark: DataFrame, masks: tuple[str, ...], min_words: int) ->
     sevens = found.where("kind = 1")
     often = sevens.groupBy("h").agg(F.count_distinct("k").alias("n")).where(F.col("n") > COMMON).select("h")
     common = sevens.join(often, "h").groupBy("k").agg(F.collect_set("p").alias("common"))
-    return items.join(common, "k", "left"), found.where("kind = 0").select("h", "k", "p"), found.where("kind = 2").select("h").distinct()
+    return items.join(common, "k", "left"), found.where("kind = 0").select("h", "k", "p"), found.where("kind = 2").select("h").distinct(), sorted(r[0] for r in found.where("kind = 3").select("h").distinct().collect())
 
 
 def _bitmap(hashes: DataFrame, most_bytes: int) -> np.ndarray:
-    """Bits at the hashes' low digits, sixteen times as many as there are hashes, but not more than ``most_bytes`` hold."""
+    """Bits at the hashes' low digits, 64 times as many as there are hashes or more, but not more than ``most_bytes`` hold."""
     most = max(6, (8 * most_bytes).bit_length() - 1)
-    bits = min(most, max(6, (16 * hashes.count()).bit_length()))
+    bits = min(most, max(6, (64 * hashes.count()).bit_length()))
     low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = hashes.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -266,8 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     """
     spark = docs.sparkSession
     rows = _rows(docs)
-    items, seeds, words = _benchmark(benchmark, masks, min_words)
-    widths = sorted({n // (n - wanted(n, min_words) + 1) for n in range(7, 16)})
+    items, seeds, words, widths = _benchmark(benchmark, masks, min_words)
     every = (*masks, *("1" * w for w in widths))
     shared = _shared.Shared(spark, (_bitmap(words, block_bytes // 2), _bitmap(seeds.select("h").distinct(), block_bytes // 2)))
 

@@ -345,12 +345,12 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        h = self[word] = (xxhash.xxh64_intdigest(word, 42) ^ 1 << 63) - (1 << 63)  # signed, as numpy takes these faster
         return h
 
     def of(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
         words = (text or "").encode().lower().split()
-        return words, np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return words, np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
 def word_runs(hashes: np.ndarray, width: int) -> np.ndarray:
